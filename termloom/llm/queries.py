@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import distinct, termfreq
+from termloom.llm import distinct, leakage, termfreq, tokenids
 from termloom.operators.packed import unpack_postings
 from termloom.sources.tables import table
 
@@ -38,4 +38,18 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return distinct.score_terms(terms, _postings(spark, d), _pages(spark, d).scalar())
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_scores)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenids.encode_column(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "item_id")
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which items leaked, into how many texts."""
+    leaks = leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_item"), "doc_id", "item_id")
+    return leaks.groupBy("item_id").agg(F.count("*").alias("texts"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_scores, p7_ids, p8_found, p8_items)}
