@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
+import weakref
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_BASES: set[str] = set()
+_PATHS: dict[int, tuple] = {}
+_HOME = str(Path(__file__).resolve().parent.parent)
+
+
+def find_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it; a cluster without that folder needs the
+    package installed, or sent by SparkContext.addPyFile."""
+    env = spark.sparkContext.environment
+    if _HOME not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH", ""), _HOME]))
+
+
 def local_session(name: str = "termloom", cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches; a cluster brings its own."""
     return (
@@ -38,10 +55,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, which outlives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes the rows to a table in the shared folder, which outlives lost executors, and reads it.
+
+    A table rather than checkpoint(): its size is known to the optimiser, while a checkpoint keeps the estimates of its
+    plan, whose product over the rounds of a loop grows without bound.
+    """
+    spark = df.sparkSession
+    base = f"{checkpoint_dir(spark)}/termloom-{spark.sparkContext.applicationId}"
+    if base not in _BASES:
+        _BASES.add(base)
+        atexit.register(_remove, spark, base)
+    path = f"{base}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+def release(*dfs: DataFrame) -> None:
+    """Deletes tables that cut() wrote and nothing will read again."""
+    for df in dfs:
+        ref, path = _PATHS.pop(id(df), (None, None))
+        if ref is not None and ref() is df:
+            _remove(df.sparkSession, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        to = spark._jvm.org.apache.hadoop.fs.Path(path)
+        to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+    except Exception:  # noqa: BLE001  the session has ended: the folder's owner clears it
+        pass
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
