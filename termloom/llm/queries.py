@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import distinct, leakage, termfreq, tokenids
+from termloom.llm import clusters, distinct, leakage, similar, termfreq, tokenids
 from termloom.operators.packed import unpack_postings
 from termloom.sources.tables import table
 
@@ -18,6 +18,10 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "document_vector").agg(F.countDistinct("doc_id").alias("n"))
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar.most_similar(table(spark, d, "document_vector"))
+
+
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     counted = termfreq.term_counters(_postings(spark, d), table(spark, d, "term_freq_rep").select("term"))
     return counted.withColumn("mark", termfreq.usefulness(F.col("records"), _pages(spark, d).scalar()))
@@ -38,6 +42,16 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return distinct.score_terms(terms, _postings(spark, d), _pages(spark, d).scalar())
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.clusters(table(spark, d, "document_vector"))
+
+
+def p6_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each group."""
+    vectors = table(spark, d, "document_vector")
+    return clusters.describe(vectors, clusters.clusters(vectors))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenids.encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -52,4 +66,4 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_terms, p5_found, p5_scores, p7_ids, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p5_found, p5_scores, p6_found, p6_clusters, p7_ids, p8_found, p8_items)}
