@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import clusters, distinct, leakage, similar, termfreq, tokenids
+from termloom.llm import clusters, distinct, leakage, markup, similar, termfreq, tokenids
 from termloom.operators.packed import unpack_postings
 from termloom.sources.tables import table
 
@@ -22,6 +22,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return similar.most_similar(table(spark, d, "document_vector"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup.markup_elements(table(spark, d, "yomu"), "node_id", "data", "tag")
+
+
+def p2_text(spark: SparkSession, d: str) -> DataFrame:
+    return markup.clean_column(table(spark, d, "yomu"), "node_id", "data", "tag").select("node_id", "text")
+
+
 def p3_terms(spark: SparkSession, d: str) -> DataFrame:
     counted = termfreq.term_counters(_postings(spark, d), table(spark, d, "term_freq_rep").select("term"))
     return counted.withColumn("mark", termfreq.usefulness(F.col("records"), _pages(spark, d).scalar()))
@@ -66,4 +74,4 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_terms, p5_found, p5_scores, p6_found, p6_clusters, p7_ids, p8_found, p8_items)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p3_terms, p5_found, p5_scores, p6_found, p6_clusters, p7_ids, p8_found, p8_items)}
