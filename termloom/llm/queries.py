@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import clusters, distinct, leakage, markup, similar, termfreq, tokenids
+from termloom.llm import clusters, distinct, leakage, markup, mojibake, similar, termfreq, tokenids
 from termloom.operators.packed import unpack_postings
 from termloom.sources.tables import table
 
@@ -74,4 +74,13 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.groupBy("item_id").agg(F.count("*").alias("texts"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p3_terms, p5_found, p5_scores, p6_found, p6_clusters, p7_ids, p8_found, p8_items)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_text(spark, d).where("garbled").select("doc_id")
+
+
+def p9_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every text, restored where it was garbled."""
+    return mojibake.repair(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p3_terms, p5_found, p5_scores, p6_found, p6_clusters, p7_ids, p8_found, p8_items, p9_found, p9_text)}
