@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from termloom.plans import packed_queries
+from termloom.plans import index_queries, packed_queries, vector_queries
 
-_MODULES = [packed_queries]
+_MODULES = [packed_queries, index_queries, vector_queries]
 
 
 def queries() -> dict:
