@@ -27,6 +27,11 @@ def count_char(text: Column, char: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
+def base64_text(text: Column) -> Column:
+    """Base64 of the UTF-8 bytes, in one line."""
+    return F.translate(F.base64(F.encode(text, "UTF-8")), "\r\n", "")
+
+
 def fill_template(template: str, *values: Column) -> Column:
     """Each $ of the template is replaced by the next value, URL-encoded."""
     parts = template.split("$")

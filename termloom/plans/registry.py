@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from termloom.plans import index_queries, packed_queries, vector_queries
+from termloom.plans import dom_queries, index_queries, linalg_queries, packed_queries, recommend_queries, scalar_queries, vector_queries
 
-_MODULES = [packed_queries, index_queries, vector_queries]
+_MODULES = [packed_queries, index_queries, vector_queries, recommend_queries, linalg_queries, dom_queries, scalar_queries]
 
 
 def queries() -> dict:
