@@ -1,9 +1,10 @@
 """Several values packed in one field: one row per posting, with its position.
 
-A field such as ``12,3|15|"18,2"`` holds postings (a document id, often with a frequency) in any of many habits. Nothing
-here names a habit: an input-output hidden Markov model over the numbers of the field, whose input are the delimiters
-found between them, is learned from the whole column by expectation maximisation, and the Viterbi path through the
-lattice of readings splits each field. Quoted spans are atoms of the lattice.
+A field such as ``12,3|15|"18,2"`` holds postings (a document id, often with a frequency) in any of many habits. An
+input-output hidden Markov model over the numbers of the field, whose input are the delimiters found between them, is
+learned from the whole column by expectation maximisation, and the Viterbi path through the lattice of readings splits
+each field. Quoted spans are atoms of the lattice. No habit is written down but a weak prior (PAIRING), for columns of a
+few fields.
 
 States: ``I`` an id, ``F`` the frequency of the id before it, ``P`` a quoted span that holds id and frequency.
 """
@@ -37,6 +38,8 @@ _ATOM = re.compile(r'"([^"\x1e]*)"|\'([^\'\x1e]*)\'|(\d+(?:\.\d+)?)|(\x1e)|((?:[
 _PAIR_IN = re.compile(r"\D*(\d+)(?:\.\d+)?\D+(\d+)(?:\.\d+)?\D*\Z")
 _ONE_IN = re.compile(r"\D*(\d+)(?:\.\d+)?\D*\Z")
 _GROUPED = re.compile(r"\s*\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*\Z")
+#: Delimiters that rather join an id and its frequency than part two entries; the weight of that belief in uses.
+PAIRING, BELIEF = set(",:=/"), 2.0
 #: Transitions that a posting list can have: a frequency follows an id only.
 _ALLOWED = np.array([[1, 1, 1], [1, 0, 1], [1, 0, 1]], float)
 
@@ -144,7 +147,8 @@ def learn_split(classes: pd.DataFrame, rounds: int = 30, least_share: float = 0.
     emit /= np.maximum(emit.sum(1, keepdims=True), 1e-12)
     names = sorted(set(classes.delim) - {START})
     code = {d: k for k, d in enumerate(names)}
-    move = np.repeat((_ALLOWED / _ALLOWED.sum(1, keepdims=True))[None], len(names), 0)
+    prior = np.array([[[0.2, 1, 0.05] if n.strip() in PAIRING else [1, 0.2, 0.5], [1, 0, 0.5], [1, 0, 0.5]] for n in names]).reshape(-1, 3, 3) * BELIEF
+    move = prior / np.maximum(prior.sum(2, keepdims=True), 1e-12)
     start = np.array([0.8, 0.0, 0.2])
     share = np.full(3, 1 / 3)
     begins = classes[classes.delim == START]
@@ -172,7 +176,7 @@ def learn_split(classes: pd.DataFrame, rounds: int = 30, least_share: float = 0.
         np.add.at(move, d, joint.transpose(2, 0, 1))
         overall = (move.sum(0) + 0.01) * _ALLOWED
         overall /= overall.sum(1, keepdims=True)
-        move = (move + 0.05 * overall[None]) * _ALLOWED
+        move = (move + 0.05 * overall[None] + prior) * _ALLOWED
         move /= move.sum(2, keepdims=True)
         if turn >= settle:
             move = np.where(move < least_share, 1e-9, move) * _ALLOWED
