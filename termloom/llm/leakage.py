@@ -49,7 +49,9 @@ def word_hashes(text: str) -> np.ndarray:
 
 
 def kgram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(max(0, len(h) - k + 1), np.uint64)
+    if len(h) < k:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(h) - k + 1, np.uint64)
     with np.errstate(over="ignore"):
         for j in range(k):
             out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
