@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions.stem import stem_column
 from termloom.functions.text import tokenize
+from termloom.operators.order import prior_totals
 
 MIN_DF = 4
 MAX_DF_SHARE = 0.7
@@ -69,8 +70,7 @@ def posting_lists(tf: DataFrame) -> DataFrame:
 
 def prior_sums(tf: DataFrame) -> DataFrame:
     """Sums of each term over the documents before each one."""
-    before = Window.partitionBy("term").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return tf.select("doc_id", "term", "tf", F.coalesce(F.sum("tf").over(before), F.lit(0)).alias("prior_tfs"), F.count("*").over(before).alias("prior_df"))
+    return prior_totals(tf, "term", "doc_id", {"prior_tfs": F.col("tf"), "prior_df": F.lit(1)})
 
 
 def dimensions(stats: DataFrame, n: int) -> DataFrame:

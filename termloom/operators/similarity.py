@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.operators.order import global_rank
+
 
 def vector_rows(vectors: DataFrame, key: str = "doc_id", column: str = "map") -> DataFrame:
     """``doc_id``, ``term``, ``w`` of a table of maps, repeated rows once."""
@@ -48,6 +50,5 @@ def nearest(rows: DataFrame, norms: DataFrame, queries: DataFrame, k: int, seen:
 
 def by_dimension(rows: DataFrame, docs: DataFrame, term: str) -> DataFrame:
     """Documents by their weight of one term, ascending, those without it last."""
-    order = Window.orderBy(F.asc_nulls_last("w"), "doc_id")
     found = docs.join(rows.where(F.col("term") == term), "doc_id", "left").select("doc_id", "w")
-    return found.withColumn("place", F.row_number().over(order))
+    return global_rank(found, [F.asc_nulls_last("w"), F.asc("doc_id")])

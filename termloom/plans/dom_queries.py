@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.operators import dom
-from termloom.session import spread
 from termloom.sources.tables import table
 
 
@@ -16,7 +15,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page").where("id is not null and wiki_page is not null").groupBy("id").agg(F.min("wiki_page").alias("wiki_page"))
-    return dom.parse_pages(spread(pages, "id"), "id", "wiki_page")
+    return dom.parse_pages(pages, "id", "wiki_page")
 
 
 def tag_counts(spark: SparkSession, d: str) -> DataFrame:

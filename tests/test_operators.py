@@ -155,3 +155,36 @@ def test_key_totals_of_a_hot_key(spark):
     got = with_key_totals(rows, "k", "i", {"total": F.col("v")})
     assert got.count() == 301
     assert {(r["k"], r["total"]) for r in got.collect()} == {("hot", 600), ("cold", 5)}
+
+
+def test_global_rank_and_prior_totals(spark):
+    from termloom.operators.order import global_rank, prior_totals
+
+    df = spark.createDataFrame([(i * 37 % 101, "a") for i in range(101)], "v long, k string")
+    assert {(r["v"], r["place"]) for r in global_rank(df, [F.desc("v")], parts=4).collect()} == {(v, 101 - v) for v in range(101)}
+    got = prior_totals(df, "k", "v", {"s": F.col("v")}, block=10).collect()
+    assert {(r["v"], r["s"]) for r in got} == {(v, v * (v - 1) // 2) for v in range(101)}
+    assert global_rank(df.limit(0), [F.desc("v")]).count() == 0
+
+
+def test_build_index(spark, tmp_path):
+    from termloom.plans.build import TABLES, build_index, read_index
+
+    docs = spark.createDataFrame([(i, f"apple pear w{'abcdefgh'[i % 2]} x{'abcdefgh'[i % 8]}") for i in range(20)] + [(99, None)], "doc_id long, text string")
+    build_index(docs, str(tmp_path / "ix"), ["pear"], compat=True, k=2, rounds=3)
+    tables = read_index(spark, str(tmp_path / "ix"))
+    assert set(tables) == set(TABLES) and tables["docs"].count() == 20
+    assert {r["term"] for r in tables["term_stats"].collect()} == {"wa", "wb"}
+    assert {r["df"] for r in tables["term_stats"].collect()} == {10}
+    clusters = {}
+    for r in tables["assign"].collect():
+        clusters.setdefault(r["cluster_id"], set()).add(r["doc_id"] % 2)
+    assert sorted(map(sorted, clusters.values())) == [[0], [1]]
+
+
+def test_random(spark):
+    from termloom.functions.random import gaussian, random_matrix, uniform
+
+    got = [r["v"] for r in random_matrix(spark, 20, 5, uniform(-2.0, 3.0, 1)).collect()]
+    assert len(got) == 100 and min(got) >= -2 and max(got) < 3
+    assert random_matrix(spark, 3, 2, gaussian(0.0, 1.0, 1)).agg(F.max("i"), F.max("j")).first() == (2, 1)
