@@ -54,8 +54,8 @@ def recommended(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The regressors of each asked user: documents voted on by the user's best words."""
-    rows, votes = _rows(spark, d), _asked(_votes(spark, d))
+    """The regressors of each user: documents voted on by the user's best words."""
+    rows, votes = _rows(spark, d), _votes(spark, d)
     return rc.term_cells(votes, rc.best_words(votes, rows), rows, _stats(rows)).withColumn("x", F.round("x", 4))
 
 
@@ -105,7 +105,7 @@ SELECT user_id, page_id, vote, voted_at, round(p, 4) AS p, round(CASE WHEN m <>
     "recommended": f"""WITH {_V}, {_profile('q')}, dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM rows_ GROUP BY 1), un AS (SELECT user_id, sqrt(sum(w * w)) AS n FROM prof GROUP BY 1),
 s AS (SELECT user_id, doc_id, round(sum(p.w * r.w) / (max(un.n) * max(dn.n)), 9) AS sim FROM prof p JOIN rows_ r USING (term) JOIN dn USING (doc_id) JOIN un USING (user_id) GROUP BY 1, 2)
 SELECT user_id, doc_id, round(sim, 7) AS sim, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY sim DESC, doc_id) AS INTEGER) AS rank FROM s WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.user_id = s.user_id AND q.doc_id = s.doc_id)) WHERE rank <= 5""",
-    "term_cells": f"""WITH {_V}, {_words('q')}, df AS (SELECT term, count(*) AS df FROM rows_ GROUP BY 1)
-SELECT q.user_id, q.doc_id, words.term, round(CASE WHEN r.w IS NULL THEN 0 WHEN r.w = 0 THEN 0.1 * df ELSE round(r.w * df, 6) END, 4) AS x
-FROM q JOIN words USING (user_id) LEFT JOIN rows_ r ON r.doc_id = q.doc_id AND r.term = words.term LEFT JOIN df ON df.term = words.term""",
+    "term_cells": f"""WITH {_V}, {_words('v')}, df AS (SELECT term, count(*) AS df FROM rows_ GROUP BY 1)
+SELECT v.user_id, v.doc_id, words.term, round(CASE WHEN r.w IS NULL THEN 0 WHEN r.w = 0 THEN 0.1 * df ELSE round(r.w * df, 6) END, 4) AS x
+FROM v JOIN words USING (user_id) LEFT JOIN rows_ r ON r.doc_id = v.doc_id AND r.term = words.term LEFT JOIN df ON df.term = words.term""",
 }
