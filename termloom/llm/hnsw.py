@@ -19,7 +19,7 @@ class Layer:
 class Hnsw:
     """x: unit rows. All similarities are dot products."""
 
-    def __init__(self, x: np.ndarray, m: int = 12, ef: int = 48, seed: int = 7):
+    def __init__(self, x: np.ndarray, m: int = 8, ef: int = 40, seed: int = 7):
         self.x, self.m, self.ef = np.ascontiguousarray(x, np.float32), m, ef
         n = len(x)
         rng = np.random.default_rng(seed)

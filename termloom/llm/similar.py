@@ -23,7 +23,7 @@ def flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(pdf)), count), np.concatenate(pdf["terms"].to_numpy()), np.concatenate(pdf["ws"].to_numpy())
 
 
-def class_neighbours(reps: DataFrame, k: int, threshold: float, ef: int = 64, rows: int = SHARD_ROWS) -> DataFrame:
+def class_neighbours(reps: DataFrame, k: int, threshold: float, ef: int | None = None, rows: int = SHARD_ROWS) -> DataFrame:
     """``id``, ``other``, ``cos``: the k most similar of the different vectors ``reps`` with at least the threshold."""
 
     def shard(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -34,7 +34,7 @@ def class_neighbours(reps: DataFrame, k: int, threshold: float, ef: int = 64, ro
         a, b = [], []
         for low in range(0, n, 1024):
             q = np.arange(low, min(n, low + 1024))
-            ids, sims = graph.neighbours(q, ef)
+            ids, sims = graph.neighbours(q, ef or max(48, 2 * k + 8))
             i, j = np.nonzero((ids >= 0) & (sims >= threshold - SLACK))
             a.append(q[i]), b.append(ids[i, j])
         a, b = np.concatenate(a), np.concatenate(b)

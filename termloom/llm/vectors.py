@@ -84,4 +84,6 @@ def to_shards(routed: DataFrame, rows: int = SHARD_ROWS) -> DataFrame:
     )
     placed = placed.withColumn("part", part)
     placed = placed.select("id", "shard", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(others)).alias("tile"))
-    return placed.join(routed.select("id", "terms", "ws"), "id")
+    # by rows, not by bytes as the optimiser would: a shard's cost is its computation
+    parts = max(2 * routed.sparkSession.sparkContext.defaultParallelism, total // (8 * rows))
+    return placed.join(routed.select("id", "terms", "ws"), "id").repartition(parts, "shard", "tile")
