@@ -64,6 +64,20 @@ def score_terms(terms: DataFrame, postings: DataFrame, n: Column, information: s
     return rows.select("doc_id", "term", "freq", "df", F.round(score, 9).alias("score"))
 
 
+def score_centroids(entries: DataFrame, counters: DataFrame, n: Column, c: float = 1.0) -> DataFrame:
+    """``cluster_id``, ``term``, ``score`` of centroid entries (cluster_id, term, tf_idf) under the geometric model.
+
+    An entry's frequency is its mean weight times the term's document frequency, which is the mean frequency of the
+    cluster's members. ``counters`` has term, occurrences, records. Entries that are null or of unknown terms have no
+    score; repeated entries count once.
+    """
+    rows = entries.select("cluster_id", "term", "tf_idf").where("cluster_id is not null and tf_idf is not null").distinct()
+    rows = rows.join(counters.where("records > 0"), "term").withColumn("freq", F.col("tf_idf") * F.col("records"))
+    lengths = rows.groupBy("cluster_id").agg(F.sum("freq").alias("length"))
+    score = dfr_score(F.col("freq"), F.col("records"), F.col("occurrences"), n, F.col("length"), lengths.agg(F.avg("length")).scalar(), c=c)
+    return rows.join(lengths, "cluster_id").select("cluster_id", "term", F.round(score, 7).alias("score"))
+
+
 def most_distinctive(scores: DataFrame, k: int = 3) -> DataFrame:
     """The k terms of each record with the highest score, ties to the term first in code point order."""
     ranked = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")

@@ -32,4 +32,10 @@ scored AS (SELECT doc_id, term, freq, records AS df, occurrences / n AS rate,
     freq * log2(1 + (SELECT avg(length) FROM len) / length) AS tf
   FROM {_MAPS} m JOIN po USING (doc_id, term) JOIN stats USING (term) JOIN len USING (doc_id), n)
 SELECT doc_id, term, freq, df, round((log2(1 + rate) + tf * log2((1 + rate) / rate)) / (tf + 1), 9) AS score FROM scored""",
+    "p5_centroids": _POSTINGS + """
+, e AS (SELECT DISTINCT cluster_id, term, tf_idf FROM hashmap_data WHERE cluster_id IS NOT NULL AND tf_idf IS NOT NULL),
+f AS (SELECT cluster_id, term, tf_idf * records AS freq, occurrences / n AS rate FROM e JOIN stats USING (term), n),
+len AS (SELECT cluster_id, sum(freq) AS length FROM f GROUP BY 1),
+g AS (SELECT cluster_id, term, rate, freq * log2(1 + (SELECT avg(length) FROM len) / length) AS tf FROM f JOIN len USING (cluster_id))
+SELECT cluster_id, term, round((log2(1 + rate) + tf * log2((1 + rate) / rate)) / (tf + 1), 7) AS score FROM g""",
 }

@@ -50,6 +50,11 @@ def p5_scores(spark: SparkSession, d: str) -> DataFrame:
     return distinct.score_terms(terms, _postings(spark, d), _pages(spark, d).scalar())
 
 
+def p5_centroids(spark: SparkSession, d: str) -> DataFrame:
+    counted = termfreq.term_counters(_postings(spark, d))
+    return distinct.score_centroids(table(spark, d, "hashmap_data"), counted, _pages(spark, d).scalar())
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.clusters(table(spark, d, "document_vector"))
 
@@ -83,4 +88,4 @@ def p9_text(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.repair(table(spark, d, "documents"), "doc_id", "text", "lang")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p3_terms, p5_found, p5_scores, p6_found, p6_clusters, p7_ids, p8_found, p8_items, p9_found, p9_text)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_text, p3_found, p3_terms, p5_found, p5_scores, p5_centroids, p6_found, p6_clusters, p7_ids, p8_found, p8_items, p9_found, p9_text)}

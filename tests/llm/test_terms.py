@@ -49,3 +49,12 @@ def test_scores(tables, same):
 def test_ties_go_to_the_first_term(spark, same):
     scores = spark.createDataFrame([(1, t, 1.0) for t in ("é", "z", "a", "Z")], "doc_id long, term string, score double")
     same(distinct.most_distinctive(scores).select("term"), [("Z",), ("a",), ("z",)])
+
+
+def test_centroid_scores(spark):
+    counters = spark.createDataFrame([("a", 40, 10), ("b", 4, 1), ("z", 0, 0)], "term string, occurrences long, records long")
+    rows = [(1, "a", 0.2), (1, "a", 0.2), (1, "b", 2.0), (2, "a", None), (None, "a", 0.1), (2, "z", 1.0), (2, "gone", 1.0)]
+    entries = spark.createDataFrame(rows, "cluster_id long, term string, tf_idf double").selectExpr("*", "1 AS records", "2 AS length")
+    got = {(r["cluster_id"], r["term"]): r["score"] for r in distinct.score_centroids(entries, counters, F.lit(20)).collect()}
+    assert set(got) == {(1, "a"), (1, "b")} and got[(1, "b")] > got[(1, "a")]
+    assert distinct.score_centroids(entries.limit(0), counters, F.lit(20)).count() == 0
