@@ -12,6 +12,7 @@ from termloom.operators.order import prior_totals
 
 MIN_DF = 4
 MAX_DF_SHARE = 0.7
+SMALL_LIST = 100_000
 
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -29,10 +30,11 @@ def english_stopwords(df: DataFrame) -> list[str]:
 
 
 def without_stopwords(toks: DataFrame, words: list[str], prefixes: bool = False) -> DataFrame:
-    """Tokens that are no stopword, or with ``prefixes`` no non-empty prefix of one. The list is a fixed, small table."""
+    """Tokens that are no stopword, or with ``prefixes`` no non-empty prefix of one. A list up to SMALL_LIST entries is
+    sent to all executors, a longer one joined by a shuffle."""
     bad = {w[:k] for w in words for k in range(1, len(w) + 1)} if prefixes else set(words)
     table = toks.sparkSession.createDataFrame([(w,) for w in sorted(bad)], "term string")
-    return toks.join(F.broadcast(table), "term", "left_anti")
+    return toks.join(F.broadcast(table) if len(bad) <= SMALL_LIST else table, "term", "left_anti")
 
 
 def stemmed(tf: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.similarity import cosines, top_k
+from termloom.operators.skew import SALTS, salt_of
 
 
 def vote_target(vote: Column) -> Column:
@@ -66,22 +67,33 @@ def term_cells(votes: DataFrame, words: DataFrame, rows: DataFrame, stats: DataF
     return cells.select("user_id", "doc_id", "term", x.alias("x"))
 
 
-def fit_words(cells: DataFrame, votes: DataFrame) -> DataFrame:
-    """``user_id``, ``term``, ``beta`` by least squares without intercept; none where the words outnumber what the votes
-    determine. A user's matrix has the user's votes by at most 50 words."""
+def fit_words(cells: DataFrame, votes: DataFrame, parts: int = SALTS) -> DataFrame:
+    """``user_id``, ``term``, ``beta`` by least squares without intercept; none where a user's votes don't determine the
+    words' coefficients.
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot_table(index="doc_id", columns="term", values="x", aggfunc="first").fillna(0.0)
+    A user's votes are reduced in ``parts`` to the 50 x 50 products of their word columns, which are added and solved: a
+    user with any share of the votes costs no task more than a part of them.
+    """
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot_table(index="doc_id", columns="term", values="x", aggfunc="first").fillna(0.0).sort_index(axis=1)
         y = pdf.groupby("doc_id")["y"].first().loc[x.index].to_numpy()
         m = x.to_numpy()
-        none = pd.DataFrame({"user_id": pd.Series(dtype=str), "term": pd.Series(dtype=str), "beta": pd.Series(dtype=float)})
-        if m.shape[0] < m.shape[1] or np.linalg.matrix_rank(m) < m.shape[1]:
-            return none
-        beta = np.linalg.lstsq(m, y, rcond=None)[0]
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "term": x.columns, "beta": beta})
+        return pd.DataFrame({"user_id": [pdf["user_id"].iloc[0]], "terms": [list(x.columns)], "xx": [(m.T @ m).ravel()], "xy": [m.T @ y]})
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        terms = pdf["terms"].iloc[0]  # every part has every word of the user
+        xx = np.sum(np.stack(pdf["xx"].to_numpy()), axis=0).reshape(len(terms), len(terms))
+        size = np.linalg.eigvalsh(xx)
+        if size[0] <= 1e-10 * max(size[-1], 1e-300):
+            return pd.DataFrame({"user_id": pd.Series(dtype=str), "term": pd.Series(dtype=str), "beta": pd.Series(dtype=float)})
+        beta = np.linalg.solve(xx, np.sum(np.stack(pdf["xy"].to_numpy()), axis=0))
+        return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "term": list(terms), "beta": beta})
 
     target = votes.select("user_id", "doc_id", vote_target(F.col("vote")).alias("y"))
-    return cells.join(target, ["user_id", "doc_id"]).groupBy("user_id").applyInPandas(fit, "user_id string, term string, beta double")
+    rows = cells.join(target, ["user_id", "doc_id"]).withColumn("part", salt_of("doc_id", parts))
+    some = rows.groupBy("user_id", "part").applyInPandas(products, "user_id string, terms array<string>, xx array<double>, xy array<double>")
+    return some.groupBy("user_id").applyInPandas(solve, "user_id string, term string, beta double")
 
 
 def rerank(found: DataFrame, beta: DataFrame, rows: DataFrame) -> DataFrame:

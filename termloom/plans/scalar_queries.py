@@ -84,10 +84,10 @@ def pages_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def string_arrays(spark: SparkSession, d: str) -> DataFrame:
-    """A JSON array of page ids per first letter of the name, read back to rows."""
-    p = table(spark, d, "page").where("id is not null and page_name is not null").select(F.substring("page_name", 1, 1).alias("letter"), "id").distinct()
-    packed = p.groupBy("letter").agg(F.to_json(F.array_sort(F.collect_list("id"))).alias("ids"))
-    return packed.select("letter", F.explode(formats.parse_string_array("ids")).alias("id"))
+    """Each page's name as a JSON array of its words, read back to rows with their place."""
+    p = table(spark, d, "page").where("id is not null and page_name is not null").select("id", "page_name").distinct()
+    packed = p.select("id", "page_name", F.to_json(F.split("page_name", " ")).alias("words"))
+    return packed.select("id", "page_name", F.posexplode(formats.parse_string_array("words")).alias("place", "word"))
 
 
 def map_primitives(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ FROM (SELECT node_id, translate(replace(replace(data, '"', '&ldquo;'), '&nbsp;',
     "numbers_in_titles": "SELECT doc_id, CAST(doc_id AS DOUBLE) AS from_id, coalesce(TRY_CAST(regexp_extract(coalesce(max(title), ''), '^\\s*([+-]?\\d+(?:\\.\\d*)?)', 1) AS DOUBLE), 0) AS from_title FROM document_vector WHERE doc_id IS NOT NULL GROUP BY 1",
     "status_phrases": "SELECT code, phrase, count(*) AS n FROM (SELECT CAST(CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 201 ELSE 200 END AS INTEGER) AS code FROM events) JOIN (VALUES " + ", ".join(f"({c}, '{p}')" for c, p in STATUS) + ") AS s(code, phrase) USING (code) GROUP BY 1, 2",
     "pages_by_name": "SELECT DISTINCT id, unique_id, page_name FROM page WHERE page_name = (SELECT min(page_name) FROM page)",
-    "string_arrays": "SELECT DISTINCT substr(page_name, 1, 1) AS letter, id FROM page WHERE id IS NOT NULL AND page_name IS NOT NULL",
+    "string_arrays": "SELECT id, page_name, CAST(unnest(range(len(w))) AS INTEGER) AS place, unnest(w) AS word FROM (SELECT id, page_name, string_split(page_name, ' ') AS w FROM (SELECT DISTINCT id, page_name FROM page WHERE id IS NOT NULL AND page_name IS NOT NULL))",
     "map_primitives": "SELECT doc_id, CAST(len(v) AS INTEGER) AS n, CAST(len(list_filter(v, lambda x: x >= 0.1)) AS INTEGER) AS n_big, round(list_sum(list_transform(v, lambda x: CASE WHEN x >= 0.1 THEN 1.0::DOUBLE ELSE x END)), 7) AS merged_sum, list_min(v) AS least, list_max(v) AS most, list_min(k) AS first_key FROM (SELECT DISTINCT ON (doc_id) doc_id, map_values(map) AS v, map_keys(map) AS k FROM document_vector WHERE doc_id IS NOT NULL AND map IS NOT NULL AND cardinality(map) > 0)",
     "prefix_matches": "WITH t AS (SELECT DISTINCT term FROM term_freq_rep WHERE term IS NOT NULL), p AS (SELECT term AS longer, unnest(list_transform(range(1, length(term)), lambda i: substr(term, 1, i))) AS term FROM t) SELECT term, longer FROM p JOIN t USING (term)",
     "usable_paragraphs": f"SELECT page_id, node_id FROM yomu WHERE {_T} = 'p' AND length(trim(replace(data, '<>', ''))) >= 4 AND NOT list_contains(regexp_split_to_array({_CLASS.format('class')}, '\\s+'), 'mw-empty-elt')",

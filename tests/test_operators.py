@@ -188,3 +188,25 @@ def test_random(spark):
     got = [r["v"] for r in random_matrix(spark, 20, 5, uniform(-2.0, 3.0, 1)).collect()]
     assert len(got) == 100 and min(got) >= -2 and max(got) < 3
     assert random_matrix(spark, 3, 2, gaussian(0.0, 1.0, 1)).agg(F.max("i"), F.max("j")).first() == (2, 1)
+
+
+def test_fit_and_rerank(spark):
+    x, y = np.array([[1.0, 2], [2, 1], [3, 3]]), np.array([1.0, 2, 3])
+    votes = spark.createDataFrame([("u", 1, 3), ("u", 2, 4), ("u", 3, 5), ("few", 1, 3)], "user_id string, doc_id long, vote int")
+    cells = spark.createDataFrame([("u", d + 1, t, float(x[d, k])) for d in range(3) for k, t in enumerate("ab")] + [("few", 1, "a", 1.0), ("few", 1, "b", 2.0)], "user_id string, doc_id long, term string, x double")
+    beta = recommend.fit_words(cells, votes, parts=2)
+    got = {(r["user_id"], r["term"]): r["beta"] for r in beta.collect()}
+    want = linalg.least_squares(x, y)[0]
+    assert got == {("u", "a"): pytest.approx(want[0]), ("u", "b"): pytest.approx(want[1])}
+    found = spark.createDataFrame([("u", 7, 0.9, 1), ("u", 8, 0.8, 2), ("few", 7, 0.5, 1)], "user_id string, doc_id long, sim double, rank int")
+    rows = spark.createDataFrame([(7, "a", 0.1), (8, "a", 5.0)], "doc_id long, term string, w double")
+    order = {(r["user_id"], r["doc_id"]): r["place"] for r in recommend.rerank(found, beta, rows).collect()}
+    assert order == {("u", 8): 1, ("u", 7): 2, ("few", 7): 1}
+
+
+def test_profiles_and_candidates(spark, same):
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "a", 2.0), (2, "b", 1.0), (3, "b", 1.0), (4, "c", 1.0)], "doc_id long, term string, w double")
+    votes = recommend.latest_votes(spark.createDataFrame([("u", "1", 3, 1), ("u", "1", 4, 2), ("u", "99", 5, 1), ("u", None, 5, 1), (None, "1", 5, 1), ("u", "2", 9, 1)], "user_id string, page_id string, vote int, voted_at int"))
+    same(votes, [("u", 1, 4), ("u", 99, 5)])
+    same(recommend.profiles(votes, rows), [("u", "a", 1.0)])
+    same(recommend.candidates(votes, rows, similarity.true_norms(rows)).select("doc_id", "rank"), [(2, 1)])
