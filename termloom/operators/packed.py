@@ -252,18 +252,16 @@ def learn_from_column(df: DataFrame, column: str) -> SplitModel:
     return learn_split(counts.toPandas())
 
 
-def unpack_postings(df: DataFrame, column: str, keep: list[str], key: str | None = None, model: SplitModel | None = None) -> DataFrame:
+def unpack_postings(df: DataFrame, column: str, keep: list[str], model: SplitModel | None = None) -> DataFrame:
     """One row per posting of ``column``: the columns ``keep``, ``pos`` (int, from 1 in the order written), ``doc_id``
     and ``freq`` (bigint, 1 where none is written).
 
     Null, empty and blank fields, and fields without a digit, give no row; repeated entries each give one, and so do
-    repeated rows. A number beyond bigint gives -1. Other columns of ``df`` play no part, whatever their names. ``key``
-    names a column that spreads a small input over the cores. The model is learned from the whole column unless given.
+    repeated rows. A number beyond bigint gives -1. Other columns of ``df`` play no part, whatever their names. The model
+    is learned from the whole column unless given.
     """
     src = df.select(*[F.col(k).alias(f"keep{i}") for i, k in enumerate(keep)], F.col(column).cast("string").alias("packed"))
-    if key is not None and key in keep:
-        src = spread(src, f"keep{keep.index(key)}")
-    src = src.where(F.col("packed").isNotNull())
+    src = spread(src.where(F.col("packed").isNotNull()))
     learned = model or learn_from_column(src, "packed")
     names = [f"keep{i}" for i in range(len(keep))]
 

@@ -89,10 +89,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partitions an input of fewer splits than cores by keys, so that Python stages use all cores. Inputs of more
-    splits keep their partitions: at scale nothing is shuffled here."""
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of an input of fewer splits than cores out in turn, so that Python stages use all cores whatever
+    the rows' keys. Inputs of more splits keep their partitions: at scale nothing is shuffled here."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(2 * cores, *keys)
+    return df.repartition(2 * cores)

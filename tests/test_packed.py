@@ -56,7 +56,7 @@ def test_long_field(model):
 def test_dirty_table(spark, same):
     rows = [(1, "5,2|9,1|", "x"), (1, "5,2|9,1|", "x"), (2, None, "x"), (3, "", "x"), (4, "  ", None), (None, "7,3|7,3|", "x"), (5, "none", "x")]
     df = spark.createDataFrame(rows, "rep_id long, full_rep string, doc_id string")
-    got = unpack_postings(df, "full_rep", ["rep_id"], "rep_id")
+    got = unpack_postings(df, "full_rep", ["rep_id"])
     assert got.columns == ["rep_id", "pos", "doc_id", "freq"]
     same(got, [(1, 1, 5, 2), (1, 2, 9, 1), (1, 1, 5, 2), (1, 2, 9, 1), (None, 1, 7, 3), (None, 2, 7, 3)])
     assert unpack_postings(df.limit(0), "full_rep", ["rep_id"]).count() == 0
