@@ -17,13 +17,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import spread
+from termloom.session import cut, spread
 
 SPAN = 13
 K = 5
-#: Test fingerprints up to this number (8 bytes each) go to the executors, to filter the corpus where it is read; more
-#: are joined by a shuffle.
+#: Different test fingerprints up to this number (8 bytes each) go to the executors, to filter the corpus where it is
+#: read. Test rows (some 200 bytes each) up to MAX_JOIN are broadcast to the join; more are joined by a shuffle.
 MAX_BROADCAST = 1_000_000
+MAX_JOIN = 200_000
 _WORD = re.compile(r"[^\W_]+")
 _HASHES: dict[str, int] = {}
 _MANY = 1 << 20
@@ -115,12 +116,13 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, corpus_id: str, test_id: str
         raise ValueError("k must be from 1 to span")
     run = "id long, print long, around array<long>"
     items = _side(tests, test_id, text).mapInPandas(_prints(span, k, None, 1), run)
-    items = items.select(F.col("id").alias("item_id"), "print", F.col("around").alias("test_around"))
+    items = cut(items.select(F.col("id").alias("item_id"), "print", F.col("around").alias("test_around")))
+    small = items.limit(MAX_JOIN + 1).count() <= min(MAX_JOIN, max_broadcast)
     seen = items.select("print").distinct().limit(max_broadcast + 1).toPandas()["print"].to_numpy(np.int64)
     fits = len(seen) <= max_broadcast
     only = np.sort(seen.view(np.uint64)) if fits else None
-    docs = spread(_side(corpus, corpus_id, text), "id").mapInPandas(_prints(span, k, only, 2), run)
-    hits = docs.join(F.broadcast(items) if fits else items, "print").select(F.col("id").alias("doc_id"), "item_id", "around", "test_around")
+    docs = spread(_side(corpus, corpus_id, text)).mapInPandas(_prints(span, k, only, 2), run)
+    hits = docs.join(F.broadcast(items) if small else items, "print").select(F.col("id").alias("doc_id"), "item_id", "around", "test_around")
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -344,7 +344,7 @@ def clean_column(df: DataFrame, key: str, text: str, tag: str | None = None) ->
     in; other columns play no part.
     """
     src = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"), (F.col(tag).cast("string") if tag else F.lit(None).cast("string")).alias("tag"))
-    src = spread(src, "key")
+    src = spread(src)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

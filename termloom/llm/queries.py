@@ -11,7 +11,7 @@ from termloom.sources.tables import table
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
-    return unpack_postings(table(spark, d, "term_freq_rep"), "full_rep", ["term", "rep_id"], "rep_id").drop("rep_id", "pos")
+    return unpack_postings(table(spark, d, "term_freq_rep"), "full_rep", ["term"]).drop("pos")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:

@@ -122,7 +122,7 @@ def encode_column(df: DataFrame, key: str, text: str, name: str = "byte_bpe_50k"
     part. ``folder`` must hold the tokenizer on every executor.
     """
     path = f"{folder}/{name}.json"
-    src = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), "key")
+    src = spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         coder = encoder(path)
