@@ -15,6 +15,9 @@ from termloom.session import cut
 K = 20
 #: How far below the threshold a sketch may put a pair whose exact cosine is still computed.
 SLACK = 0.4
+#: Dimensions of the sketches that graphs are searched over: near pairs stand out from chance in the fewer.
+DIMS = {"near": 64, "far": 128}
+NEAR = 0.8
 
 
 def flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,7 +33,7 @@ def class_neighbours(reps: DataFrame, k: int, threshold: float, ef: int | None =
         pdf = pdf.sort_values("id", ignore_index=True)
         row, term, w = flat(pdf)
         n = len(pdf)
-        graph = Hnsw(sketch(row, term, w, n))
+        graph = Hnsw(sketch(row, term, w, n, DIMS["near" if threshold >= NEAR else "far"]))
         a, b = [], []
         for low in range(0, n, 1024):
             q = np.arange(low, min(n, low + 1024))
