@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.order import global_rank
+from termloom.session import cut
+
+#: Documents and queries that meet in a task.
+CHUNK, BLOCK = 4096, 512
 
 
 def vector_rows(vectors: DataFrame, key: str = "doc_id", column: str = "map") -> DataFrame:
@@ -40,12 +46,52 @@ def top_k(sims: DataFrame, k: int, by: str = "a", other: str = "b") -> DataFrame
 
 
 def nearest(rows: DataFrame, norms: DataFrame, queries: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
-    """The k nearest documents of each query document, itself and pairs (a, b) of ``seen`` excluded."""
-    mine = rows.join(queries, "doc_id", "left_semi")
-    sims = cosines(mine, rows, norms, norms).where("a != b")
+    """The k nearest documents of each query document, itself and pairs (a, b) of ``seen`` excluded; ``a``, ``b``,
+    ``sim``, ``rank``.
+
+    Without ``seen``, blocks of queries meet chunks of documents, and only k rows a query leave each meeting: a term on
+    most documents costs arithmetic, never a row per pair.
+    """
     if seen is not None:
-        sims = sims.join(seen, ["a", "b"], "left_anti")
-    return top_k(sims, k)
+        sims = cosines(rows.join(queries, "doc_id", "left_semi"), rows, norms, norms).where("a != b")
+        return top_k(sims.join(seen, ["a", "b"], "left_anti"), k)
+    vectors = rows.join(norms.where("norm is not null and norm != 0"), "doc_id").select("doc_id", F.xxhash64("term").alias("t"), "w", "norm")
+    vectors = cut(vectors.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.collect_list("t").alias("ts"), F.collect_list("w").alias("ws")))
+    asked = vectors.join(queries, "doc_id", "left_semi")
+    chunks, blocks = -(-vectors.count() // CHUNK) or 1, -(-asked.count() // BLOCK) or 1
+    spot = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)).cast("int")
+    left = vectors.withColumn("chunk", spot(chunks, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = asked.withColumn("block", spot(blocks, 2)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    right = right.toDF(*right.columns)  # columns of its own: both sides come from one table
+
+    def meet(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        if not len(docs) or not len(asks):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sim": np.zeros(0)})
+        docs, asks = docs.sort_values("doc_id"), asks.sort_values("doc_id")
+        dots = np.zeros((len(asks), len(docs)))
+        mine, theirs = by_term(asks), by_term(docs)
+        for t in mine.keys() & theirs.keys():
+            (i, x), (j, y) = mine[t], theirs[t]
+            dots[i[:, None], j[None]] += x[:, None] * y[None]
+        sims = np.round(dots / (asks["norm"].to_numpy()[:, None] * docs["norm"].to_numpy()[None]), 9)
+        a, b = asks["doc_id"].to_numpy(), docs["doc_id"].to_numpy()
+        sims[(dots == 0) | (a[:, None] == b[None])] = -np.inf
+        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(sims, top, 1)
+        i, j = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"a": a[i], "b": b[top[i, j]], "sim": best[i, j]})
+
+    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, "a long, b long, sim double")
+    return top_k(met, k)
+
+
+def by_term(vectors: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and weights of each term."""
+    count = vectors["ts"].map(len).to_numpy()
+    row, term, w = np.repeat(np.arange(len(vectors)), count), np.concatenate(vectors["ts"].to_numpy()), np.concatenate(vectors["ws"].to_numpy())
+    order = np.argsort(term, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0, True])
+    return {int(term[order[s]]): (row[order[s:e]], w[order[s:e]]) for s, e in zip(edges[:-1], edges[1:])}
 
 
 def by_dimension(rows: DataFrame, docs: DataFrame, term: str) -> DataFrame:
