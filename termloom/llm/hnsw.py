@@ -166,6 +166,8 @@ def sketch(row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, dims: int =
 
 def exact_dots(row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Dot products of the sparse rows a and b; entries come by row."""
+    if not len(a):
+        return np.zeros(0)
     local = np.unique(term, return_inverse=True)[1].astype(np.int64)
     width = int(local.max(initial=0)) + 1
     key = row * width + local

@@ -26,6 +26,38 @@ def flat(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(pdf)), count), np.concatenate(pdf["terms"].to_numpy()), np.concatenate(pdf["ws"].to_numpy())
 
 
+def best_of_all(row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, queries: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of the rows ``queries`` the k most similar of all n sparse unit rows with at least the threshold, exactly:
+    row, other, dot product. Entries come by row; of equal ones the smaller row comes first."""
+    order = np.argsort(term, kind="stable")
+    row, term, w = row[order], term[order], w[order]
+    edges = np.flatnonzero(np.r_[True, term[1:] != term[:-1], True])
+    lists = [(row[s:e], w[s:e]) for s, e in zip(edges[:-1], edges[1:]) if e - s > 1]
+    common = [x for x in lists if len(x[0]) > n // 8]  # as columns of a matrix
+    x = np.zeros((n, len(common)))
+    for j, (r, v) in enumerate(common):
+        x[r, j] = v
+    rare = [x for x in lists if len(x[0]) <= n // 8]
+    out = []
+    for low in range(0, len(queries), 512):
+        q = queries[low : low + 512]
+        place = np.full(n, -1)
+        place[q] = np.arange(len(q))
+        s = x[q] @ x.T
+        for r, v in rare:
+            at = place[r]
+            mine = at >= 0
+            if mine.any():
+                s[at[mine][:, None], r[None]] += v[mine, None] * v[None]
+        s[np.arange(len(q)), q] = -np.inf
+        s[s < threshold] = -np.inf
+        top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        best = np.take_along_axis(s, top, 1)
+        i, j = np.nonzero(np.isfinite(best))
+        out.append((q[i], top[i, j], best[i, j]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (queries, queries, np.zeros(0))
+
+
 def class_neighbours(reps: DataFrame, k: int, threshold: float, ef: int | None = None, rows: int = SHARD_ROWS) -> DataFrame:
     """``id``, ``other``, ``cos``: the k most similar of the different vectors ``reps`` with at least the threshold."""
 
@@ -34,14 +66,20 @@ def class_neighbours(reps: DataFrame, k: int, threshold: float, ef: int | None =
         row, term, w = flat(pdf)
         n = len(pdf)
         graph = Hnsw(sketch(row, term, w, n, DIMS["near" if threshold >= NEAR else "far"]))
-        a, b = [], []
+        a, b, full = [], [], []
         for low in range(0, n, 1024):
             q = np.arange(low, min(n, low + 1024))
             ids, sims = graph.neighbours(q, ef or max(48, 2 * k + 8))
-            i, j = np.nonzero((ids >= 0) & (sims >= threshold - SLACK))
+            hit = (ids >= 0) & (sims >= threshold - SLACK)
+            # a beam full of hits leaves others out, and sketches are too coarse to tell which are the best
+            filled = hit.all(1)
+            full.append(q[filled])
+            i, j = np.nonzero(hit & ~filled[:, None])
             a.append(q[i]), b.append(ids[i, j])
-        a, b = np.concatenate(a), np.concatenate(b)
+        a, b, full = np.concatenate(a), np.concatenate(b), np.concatenate(full)
         cos = exact_dots(row, term, w, n, a, b)
+        far, other, dots = best_of_all(row, term, w, n, full, k, threshold)
+        a, b, cos = np.r_[a, far], np.r_[b, other], np.r_[cos, dots]
         out = pd.DataFrame({"id": pdf["id"].to_numpy()[a], "other": pdf["id"].to_numpy()[b], "cos": cos})
         out = out[out["cos"] >= threshold].sort_values(["id", "cos", "other"], ascending=[True, False, True])
         return out.groupby("id").head(k)

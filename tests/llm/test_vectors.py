@@ -69,6 +69,28 @@ def test_similar_against_brute_force(spark, threshold):
     assert got <= set(pairs_at(docs, threshold)) and len(got & want) >= 0.98 * len(want) and want
 
 
+@pytest.mark.parametrize("size", [300, 2000])
+def test_large_family(spark, size):
+    """A family of different near maps, more than a search holds: each has its 20 most similar all the same."""
+    rng = random.Random(5)
+    base = [rng.random() + 0.5 for _ in range(12)]
+    docs = {i: {f"f{k}": x * (0.7 + 0.6 * rng.random()) for k, x in enumerate(base)} | {f"own{i}x{k}": 0.2 * rng.random() for k in range(3)} for i in range(1, size + 1)}
+    terms = {t: j for j, t in enumerate({t for m in docs.values() for t in m})}
+    x = np.zeros((size, len(terms)))
+    for i, m in docs.items():
+        for t, w in m.items():
+            x[i - 1, terms[t]] = w
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sims = x @ x.T
+    np.fill_diagonal(sims, -1)
+    best = np.argsort(-sims, axis=1)[:, :20]
+    assert (np.take_along_axis(sims, best, 1) >= 0.9).all()
+    want = {(min(i, j) + 1, max(i, j) + 1) for i, near in enumerate(best.tolist()) for j in near}
+    got = {tuple(r) for r in similar.most_similar(spark.createDataFrame(list(docs.items()), SCHEMA)).collect()}
+    print("recall", size, len(got & want) / len(want), len(got - want))
+    assert got == want
+
+
 def test_few_neighbours_each(spark):
     docs = corpus(120)
     df = spark.createDataFrame(list(docs.items()), SCHEMA)
