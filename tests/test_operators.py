@@ -150,6 +150,16 @@ def test_k_means(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
 
 
+def test_every_document_has_a_cluster(spark, same):
+    """No common term is similarity 0: the smallest id of those clusters, before any of negative similarity."""
+    schema = "doc_id long, term string, w double"
+    rows = spark.createDataFrame([(1, "a", 1.0), (2, "q", 1.0), (3, "b", -1.0), (4, "c", 2.0), (5, "z", 0.0)], schema)
+    centres = spark.createDataFrame([(7, "a", 1.0), (3, "b", 1.0), (9, "c", 1.0)], schema)
+    norms = similarity.true_norms
+    same(cluster.assign(rows, norms(rows), centres, norms(centres)), [(1, 7, 1.0), (2, 3, 0.0), (3, 7, 0.0), (4, 9, 1.0)])
+    same(cluster.assign(rows, norms(rows), centres.limit(0), norms(centres.limit(0))), [])
+
+
 def test_key_totals_of_a_hot_key(spark):
     rows = spark.createDataFrame([("hot", i, 2) for i in range(300)] + [("cold", 1, 5)], "k string, i long, v long")
     got = with_key_totals(rows, "k", "i", {"total": F.col("v")})
