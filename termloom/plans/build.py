@@ -10,7 +10,7 @@ from termloom.operators import cluster, index, similarity
 TABLES = ("postings", "term_stats", "docs", "assign", "centroids")
 
 
-def build_index(docs: DataFrame, folder: str, stopwords: list[str] | None = None, compat: bool = False, k: int = 32, rounds: int = 10) -> None:
+def build_index(docs: DataFrame, folder: str, stopwords: list[str] | None = None, compat: bool = False, k: int = 32, rounds: int | None = None) -> None:
     """Writes postings (with weights, vocabulary only), term_stats, docs (magnitudes over all terms), assign (clusters)
     and centroids under ``folder``. Each table is written once and read by the next step, so nothing is computed twice."""
     spark = docs.sparkSession

@@ -150,6 +150,20 @@ def test_k_means(spark):
     assert got == {1: 0, 2: 1, 3: 0, 4: 1, 5: 0}
 
 
+def test_k_means_ends_by_its_shifts(spark, monkeypatch):
+    """Neither the caller's rounds nor the safety bound end it in silence."""
+    import inspect
+
+    rows = spark.createDataFrame([(d, t, 1.0) for d, t in [(1, "a"), (2, "b"), (3, "a")]], "doc_id long, term string, w double")
+    norms = similarity.true_norms(rows)
+    assert inspect.signature(cluster.k_means).parameters["rounds"].default is None
+    with pytest.warns(UserWarning, match="ended by its 1 rounds"):
+        cluster.k_means(rows, norms, k=2, rounds=1)
+    monkeypatch.setattr(cluster, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        cluster.k_means(rows, norms, k=2)
+
+
 def test_every_document_has_a_cluster(spark, same):
     """No common term is similarity 0: the smallest id of those clusters, before any of negative similarity."""
     schema = "doc_id long, term string, w double"
