@@ -95,7 +95,7 @@ _INLINE: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
     (re.compile(r"^[ \t]{0,3}>(?: ?>)*[ \t]+", re.M), _DROP),
     (re.compile(r"__(?:NO)?(?:TOC|EDITSECTION|INDEX|FORCETOC)__"), _DROP),
 ]
-_ANY = re.compile(r"[<&\[{\\$*_`~'#=|>+;:-]|^\s*\d{1,3}[.)]\s", re.M)
+_ANY = re.compile(r"[<&\[{\\$*_`~'#=|>+;:•-]|^\s*\d{1,3}[.)]\s", re.M)
 
 
 class _Reader:

@@ -31,6 +31,10 @@ def test_clean_text():
     assert markup.clean("<b>x</b>", " PRE ") == ("<b>x</b>", [])
 
 
+def test_bullets_as_the_only_markup():
+    assert markup.clean("\u2022 one\n\u2022 two\n\u2022 three") == ("- one\n- two\n- three", ["list"])
+
+
 def test_long_markup():
     text = ("word " * 200 + "[[a|b]]\n\n") * 200 + "<b" * 3000 + "{{" * 2000 + "$" * 3001 + "[" * 3000
     assert "inline" in markup.clean(text)[1]
