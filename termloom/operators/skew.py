@@ -25,3 +25,16 @@ def with_key_totals(rows: DataFrame, key: str, by: str, totals: dict[str, Column
     small = small.select(F.col(key).alias("__key"), F.col("__salt").alias("__part"), *[F.sum(n).over(whole).alias(n) for n in totals])
     joined = parts.join(small, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__part")))
     return joined.drop("__salt", "__key", "__part")
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, share: int = 256) -> DataFrame:
+    """Inner join of ``left`` with ``right``, which has each key once, with the number of its rows of ``left`` in the
+    column ``count``.
+
+    Keys of over 1/``share`` of all rows, ``share`` keys at most, go to the rows of ``left`` by broadcast; the others
+    are joined by a shuffle, in which none of them is too many for a task. Both sides are read twice.
+    """
+    total = right.agg(F.sum(count).alias("n")).first()["n"] or 0
+    hot = F.broadcast(right.where(F.col(count) > total / share).limit(share))
+    rest = left.join(hot.select(*on), on, "left_anti").join(right.where(F.col(count) <= total / share), on)
+    return left.join(hot, on).unionByName(rest)
