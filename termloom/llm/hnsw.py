@@ -19,7 +19,7 @@ class Layer:
 class Hnsw:
     """x: unit rows. All similarities are dot products."""
 
-    def __init__(self, x: np.ndarray, m: int = 8, ef: int = 40, seed: int = 7):
+    def __init__(self, x: np.ndarray, m: int = 8, ef: int = 32, seed: int = 7):
         self.x, self.m, self.ef = np.ascontiguousarray(x, np.float32), m, ef
         n = len(x)
         rng = np.random.default_rng(seed)
@@ -40,7 +40,7 @@ class Hnsw:
             if len(layer.nodes):
                 if entry is None:
                     entry = np.repeat(layer.nodes[None, :1], len(new), 0)
-                ids, sims = self._beam(layer, new, entry, self.ef if k == 0 or len(here) else 8)
+                ids, sims = self._beam(layer, self.x[new], entry, self.ef if k == 0 or len(here) else 8)
                 entry = ids[:, :4]
             else:
                 ids, sims = np.full((len(new), 0), -1, np.int64), np.zeros((len(new), 0), np.float32)
@@ -103,9 +103,10 @@ class Hnsw:
         s = np.einsum("ijk,ik->ij", self.x[np.maximum(cand, 0)], self.x[targets])
         layer.links[targets] = self._select(cand, np.where(cand < 0, -np.inf, s), width)
 
-    def _beam(self, layer: Layer, queries: np.ndarray, entry: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ef best nodes found from the entries for each query, best first; -1 where there are fewer."""
-        q, n = self.x[queries], len(self.x)
+    def _beam(self, layer: Layer, q: np.ndarray, entry: np.ndarray, ef: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """The ef best nodes found from the entries for each vector of q, best first; -1 where there are fewer. Nodes under
+        ``floor`` aren't followed."""
+        n = len(self.x)
         rows = np.arange(len(q))
         ids = np.full((len(q), ef), -1, np.int64)
         sims = np.full((len(q), ef), -np.inf, np.float32)
@@ -126,7 +127,7 @@ class Hnsw:
             best = np.argsort(-all_s, axis=1, kind="stable")[:, :ef]
             sims[at] = np.take_along_axis(all_s, best, 1)
             ids[at] = np.take_along_axis(np.concatenate([ids[at], srt], 1), best, 1)
-            open_[at] = np.take_along_axis(np.concatenate([open_[at], srt >= 0], 1), best, 1) & np.isfinite(sims[at])
+            open_[at] = np.take_along_axis(np.concatenate([open_[at], s >= floor], 1), best, 1) & np.isfinite(sims[at])
 
         merge(rows, entry)
         while True:
@@ -140,15 +141,41 @@ class Hnsw:
             nbr = np.where(node[:, :, None] >= 0, layer.links[np.maximum(node, 0)], -1).reshape(len(at), -1).astype(np.int64)
             merge(at, nbr)
 
-    def neighbours(self, queries: np.ndarray, ef: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Nodes near each of the graph's own nodes ``queries``, themselves excluded, best first; -1 where fewer."""
-        ids, sims = self._beam(self.layers[0], queries, queries[:, None], (ef or self.ef) + 1)
+    def search(self, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes near each of any vectors, entered at the top layer, best first; -1 where there are fewer than ef."""
+        q = np.ascontiguousarray(q, np.float32)
+        entry = np.repeat(self.layers[-1].nodes[None, :1], len(q), 0)
+        for layer in self.layers[:0:-1]:
+            entry = self._beam(layer, q, entry, 8)[0][:, :4]
+        return self._beam(self.layers[0], q, entry, ef)
+
+    def neighbours(self, queries: np.ndarray, ef: int | None = None, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Nodes near each of the graph's own nodes ``queries``, themselves excluded, best first; -1 where fewer. Such a
+        search begins at the node itself, where a descent would end; it doesn't follow nodes under ``floor``."""
+        ids, sims = self._beam(self.layers[0], self.x[queries], queries[:, None], (ef or self.ef) + 1, floor)
         own = ids == queries[:, None]
         sims = np.where(own, -np.inf, sims)
         order = np.argsort(-sims, axis=1, kind="stable")[:, :-1]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         return np.where(np.isfinite(sims), ids, -1), sims
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """The graph as two arrays: the level of each node, and the neighbours of the nodes, layer by layer."""
+        return self.level.astype(np.int8), np.concatenate([layer.links.ravel() for layer in self.layers])
+
+    @classmethod
+    def from_flat(cls, x: np.ndarray, level: np.ndarray, links: np.ndarray, m: int = 8) -> "Hnsw":
+        out = cls.__new__(cls)
+        out.x, out.m, out.ef, out.level = np.ascontiguousarray(x, np.float32), m, 40, level.astype(int)
+        out.layers, at, n = [], 0, len(x)
+        for k in range(int(out.level.max(initial=0)) + 1):
+            layer = Layer(n, 2 * m if k == 0 else m)
+            layer.links = links[at : at + layer.links.size].reshape(layer.links.shape)
+            layer.nodes = np.flatnonzero(out.level >= k)
+            at += layer.links.size
+            out.layers.append(layer)
+        return out
+
 
 def sketch(row: np.ndarray, term: np.ndarray, w: np.ndarray, n: int, dims: int = 128) -> np.ndarray:
     """Dense stand-ins of n sparse vectors: each term adds to two dimensions, with signs its hash gives."""
