@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -25,19 +26,17 @@ from termloom.session import spread
 
 I, FREQ, PAIR = range(3)
 START = "^"
-#: A delimiter longer than this counts as its first characters: the learned table stays bounded whatever the column holds.
-DELIM_CHARS = 6
 #: Values up to this have a value frequency each; larger ones share one by their number of digits.
 SMALL = 64
 DIGITS = 20
 BUCKETS = 2 * (SMALL + DIGITS) + 1  # single numbers, numbers that are also a pair, pairs only
 PAIR_ONLY = BUCKETS - 1
-#: Rows of the learned table of (value class, delimiter, value class) that the driver gets at most, the most frequent.
-MAX_CLASSES = 50_000
 _ATOM = re.compile(r'"([^"\x1e]*)"|\'([^\'\x1e]*)\'|(\d+(?:\.\d+)?)|(\x1e)|((?:[^\d"\'\x1e]|"(?![^"\x1e]*")|\'(?![^\'\x1e]*\'))+)')
 _PAIR_IN = re.compile(r"\D*(\d+)(?:\.\d+)?\D+(\d+)(?:\.\d+)?\D*\Z")
 _ONE_IN = re.compile(r"\D*(\d+)(?:\.\d+)?\D*\Z")
 _GROUPED = re.compile(r"\s*\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*\Z")
+#: Characters that a delimiter's class keeps as they are; letters are one class, other characters another.
+KEPT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~ \t\n")
 #: Delimiters that rather join an id and its frequency than part two entries; the weight of that belief in uses.
 PAIRING, BELIEF = set(",:=/"), 2.0
 #: Transitions that a posting list can have: a frequency follows an id only.
@@ -50,6 +49,19 @@ def _int(digits: str) -> int:
     return n if n < 2**63 else -1
 
 
+@lru_cache(maxsize=1 << 16)
+def delimiter_class(delim: str) -> str:
+    """The kinds of character of a delimiter in the order written, runs of one kind once: a comma is a comma, a word is
+    'a', what else there is 'x'. Of more than three kinds in turn the first two and the last count, with what lies between
+    as '~~', so that there are some 48,000 classes whatever a column holds between its values."""
+    kinds: list[str] = []
+    for c in delim:
+        k = c if c in KEPT else "a" if c.isalpha() else " " if c.isspace() else "x"
+        if not kinds or kinds[-1] != k:
+            kinds.append(k)
+    return "".join(kinds if len(kinds) <= 3 else [*kinds[:2], "~~", kinds[-1]])
+
+
 def _bucket(n: np.ndarray) -> np.ndarray:
     big = np.clip(np.floor(np.log10(np.maximum(n, 1).astype(float) + 0.5)).astype(np.int64) + 1, 1, DIGITS) - 1
     big = np.where(n < 0, DIGITS - 1, big)
@@ -102,11 +114,11 @@ def _atoms(texts: list[str]) -> _Atoms:
                     continue
                 for m in numbers:  # no habit known: a quoted span with a list of its own
                     cell.append(at), one.append(_int(m)), first.append(-1), second.append(-1), kind.append(0)
-                    delim.append(START if fresh else before[:DELIM_CHARS])
+                    delim.append(START if fresh else delimiter_class(before))
                     before, fresh = "", False
                 continue
         cell.append(at), one.append(n), first.append(a), second.append(b), kind.append(k)
-        delim.append(START if fresh else before[:DELIM_CHARS])
+        delim.append(START if fresh else delimiter_class(before))
         before, fresh = "", False
     one_, kind_ = np.array(one, np.int64), np.array(kind, np.int64)
     bucket = np.where(kind_ == 2, PAIR_ONLY, _bucket(one_) + (SMALL + DIGITS) * (kind_ == 1))
@@ -137,14 +149,25 @@ def learn_split(classes: pd.DataFrame, rounds: int = 30, least_share: float = 0.
     """EM over the counts of (class of a value, delimiter, class of the next value) of the whole column; ``classes`` has
     left, delim, right, n, where left is -1 at the start of a field. Values of one field's start are ids or pairs.
 
+    EM ends in the best model near its start, so it starts several times: from frequencies that are small, from those that
+    may be anything, and from ids that are. The likeliest end counts.
+
     The prior on a delimiter's moves is sparse: after ``settle`` rounds a move that is under ``least_share`` of the
     delimiter's uses from a state counts as noise. Else an odd value, say a frequency of 2449, would teach the model
     that its delimiter sometimes parts two ids."""
     can = _readings()
-    emit = can.copy()
-    emit[FREQ, :SMALL] *= 0.7 ** np.arange(SMALL)
-    emit[FREQ, SMALL : SMALL + DIGITS] *= 0.5 ** (8 + np.arange(DIGITS))
-    emit /= np.maximum(emit.sum(1, keepdims=True), 1e-12)
+    small = np.r_[0.7 ** np.arange(SMALL), 0.5 ** (8 + np.arange(DIGITS))]
+    starts = []
+    for state in (FREQ, None, I):
+        emit = can.copy()
+        if state is not None:
+            emit[state, : SMALL + DIGITS] *= small
+        starts.append(_learn_from(emit / np.maximum(emit.sum(1, keepdims=True), 1e-12), can, classes, rounds, least_share, settle))
+    return max(starts, key=lambda x: x[0])[1]
+
+
+def _learn_from(emit: np.ndarray, can: np.ndarray, classes: pd.DataFrame, rounds: int, least_share: float, settle: int) -> tuple[float, SplitModel]:
+    """The log likelihood, with the prior's, and the model that EM reaches from the weights ``emit``."""
     names = sorted(set(classes.delim) - {START})
     code = {d: k for k, d in enumerate(names)}
     prior = np.array([[[0.2, 1, 0.05] if n.strip() in PAIRING else [1, 0.2, 0.5], [1, 0, 0.5], [1, 0, 0.5]] for n in names]).reshape(-1, 3, 3) * BELIEF
@@ -156,10 +179,13 @@ def learn_split(classes: pd.DataFrame, rounds: int = 30, least_share: float = 0.
     left, right, n = pairs.left.to_numpy(int), pairs.right.to_numpy(int), pairs.n.to_numpy(float)
     d = pairs.delim.map(code).to_numpy(int) if len(pairs) else np.zeros(0, int)
     b, bn = begins.right.to_numpy(int), begins.n.to_numpy(float)
+    fit = 0.0
     for turn in range(rounds):
         got = start[:, None] * emit[:, b]
+        fit = float((bn * np.log(np.maximum(got.sum(0), 1e-300))).sum())
         got = got / np.maximum(got.sum(0), 1e-300) * bn
         joint = share[:, None, None] * emit[:, None, :][:, :, left] * move[d].transpose(1, 2, 0) * emit[None][:, :, right]
+        fit += float((n * np.log(np.maximum(joint.sum((0, 1)), 1e-300))).sum() + (prior * np.log(np.maximum(move, 1e-300)) * (prior > 0)).sum())
         joint = joint / np.maximum(joint.sum((0, 1)), 1e-300) * n
         start = got.sum(1) + [0.5, 0, 0.5]
         start /= start.sum()
@@ -187,7 +213,7 @@ def learn_split(classes: pd.DataFrame, rounds: int = 30, least_share: float = 0.
         log = lambda x: np.maximum(np.log(x), -1e6)
         moves = {name: log(move[k]) for name, k in code.items()}
         moves[START] = np.repeat(log(start)[None], 3, 0)
-        return SplitModel(log(emit), moves, log(overall))
+        return fit, SplitModel(log(emit), moves, log(overall))
 
 
 def viterbi_split(texts: list[str], model: SplitModel) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -242,14 +268,14 @@ def _classes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_from_column(df: DataFrame, column: str) -> SplitModel:
-    """One pass over the whole column; the driver gets at most MAX_CLASSES counts, whatever the column's size."""
+    """One pass over the whole column. The driver gets the counts of (value class, delimiter class, value class): their
+    number depends on how many classes of delimiters the column's habits have, not on its size."""
     counts = (
         df.select(F.col(column).cast("string").alias("packed")).where("packed is not null")
         .mapInPandas(_classes, "left int, delim string, right int, n long")
         .groupBy("left", "delim", "right").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "left", "delim", "right").limit(MAX_CLASSES)
     )
-    return learn_split(counts.toPandas())
+    return learn_split(counts.toPandas().sort_values(["left", "delim", "right"], ignore_index=True))
 
 
 def unpack_postings(df: DataFrame, column: str, keep: list[str], model: SplitModel | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ def with_key_totals(rows: DataFrame, key: str, by: str, totals: dict[str, Column
     return joined.drop("__salt", "__key", "__part")
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, share: int = 256) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], count: str, share: int = 16_384) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has each key once, with the number of its rows of ``left`` in the
     column ``count``.
 

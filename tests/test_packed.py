@@ -1,11 +1,12 @@
 """The packed-field operator on fields of many habits, and on dirty tables."""
 
 import random
+import re
 
 import pandas as pd
 import pytest
 
-from termloom.operators.packed import _classes, learn_split, unpack_postings, viterbi_split
+from termloom.operators.packed import _classes, delimiter_class, learn_split, unpack_postings, viterbi_split
 
 HABITS = {
     "id,freq|": lambda p: "".join(f"{d},{f}|" for d, f in p),
@@ -66,3 +67,32 @@ def test_clashing_columns(spark, same):
     df = spark.createDataFrame([(1, "5,2|", 9, "a", 3)], "pos long, full_rep string, freq long, packed string, keep0 long")
     out = unpack_postings(df.select("*"), "full_rep", ["packed", "keep0"])
     same(out, [("a", 3, 1, 5, 2)])
+
+
+@pytest.mark.parametrize("habit", ["id,freq|", "colon", "slash"])
+def test_column_of_large_frequencies(habit):
+    """Frequencies from 40 to 2,500 in every field: nothing says that a frequency is small but the start EM takes first."""
+    rng = random.Random(3)
+    want = [[(d, rng.randint(40, 2500)) for d in sorted(rng.sample(range(1000, 99_999), rng.randint(1, 12)))] for _ in range(250)]
+    texts = [HABITS[habit](p) for p in want]
+    model = learn_split(pd.concat(_classes([pd.DataFrame({"packed": texts})])))
+    got = [[] for _ in want]
+    for c, _, d, f in zip(*viterbi_split(texts, model)):
+        got[c].append((d, f))
+    assert got == want
+
+
+def test_delimiters_of_free_text():
+    """Whatever stands between values, classes of delimiters stay few, and a habit among them is read all the same."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    odd = [f"{rng.randint(100, 9999)} {rng.choice(words)} {rng.choice(words)}! {rng.randint(100, 9999)}" for _ in range(500)]
+    texts = odd + [HABITS["id,freq|"](p) for p in lists(300)]
+    counts = pd.concat(_classes([pd.DataFrame({"packed": texts})]))
+    assert counts.delim.nunique() < 10 and counts.n.sum() == sum(len(re.findall(r"\d+", t)) for t in texts)
+    assert delimiter_class("abc") == "a" and delimiter_class(" , ") == " , " and len(delimiter_class(",;" * 500)) == 5
+    want = lists(50, seed=9)
+    got = [[] for _ in want]
+    for c, _, d, f in zip(*viterbi_split([HABITS["id,freq|"](p) for p in want], learn_split(counts))):
+        got[c].append((d, f))
+    assert got == want
