@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.llm.termfreq import first_seen
+from termloom.operators.skew import join_hot
+from termloom.session import cut
 
 
 def dfr_score(freq: Column, df: Column, occurrences: Column, n: Column, length: Column | None = None, mean_length: Column | None = None,
@@ -34,34 +35,34 @@ def dfr_score(freq: Column, df: Column, occurrences: Column, n: Column, length:
     raise ValueError(after_effect)
 
 
-def posting_stats(postings: DataFrame) -> DataFrame:
-    """``term``, ``doc_id``, ``freq`` once each, with ``df`` and ``occurrences`` of the term over the collection. A hot
-    term is counted and joined in parts, so no task gets all its records."""
-    seen = first_seen(postings)
-    parts = seen.groupBy("term", "salt").agg(F.count("*").alias("df"), F.sum("freq").alias("occurrences"))
-    whole = Window.partitionBy("term")
-    parts = parts.select("term", "salt", F.sum("df").over(whole).alias("df"), F.sum("occurrences").over(whole).alias("occurrences"))
-    return seen.join(parts, ["term", "salt"]).drop("salt")
+def record_terms(vectors: DataFrame, record: str = "doc_id", column: str = "map") -> DataFrame:
+    """``doc_id``, ``term`` of each record's map; null and empty maps have none. Repeated rows come as often as they are
+    written."""
+    return vectors.where(F.col(record).isNotNull()).select(F.col(record).alias("doc_id"), F.explode(F.map_keys(F.col(column))).alias("term"))
 
 
-def record_terms(vectors: DataFrame, record: str = "doc_id", column: str = "map") -> DataFrame:
-    """``doc_id``, ``term`` of each record's map; null and empty maps have none, repeated rows count once."""
-    rows = vectors.where(F.col(record).isNotNull()).select(F.col(record).alias("doc_id"), F.explode(F.map_keys(F.col(column))).alias("term"))
-    return rows.dropDuplicates(["term", "doc_id"])
+def score_terms(terms: DataFrame, postings: DataFrame, n: Column) -> DataFrame:
+    """``doc_id``, ``term``, ``freq``, ``df``, ``score`` and ``weight`` of the record terms that the postings list.
 
+    ``terms`` has doc_id and term, ``postings`` term, doc_id and freq; what is repeated on either side counts once, with
+    the largest frequency. ``score`` is the geometric model's with Laplace's after-effect and length normalisation,
+    ``weight`` the family's degenerate member freq x ln(N / df), both rounded to 9 decimals.
 
-def score_terms(terms: DataFrame, postings: DataFrame, n: Column, information: str = "geometric", after_effect: str = "laplace", normalised: bool = True) -> DataFrame:
-    """``doc_id``, ``term``, ``freq``, ``df``, ``score`` of the record terms that the postings list; ``terms`` has
-    doc_id and term, once each."""
-    stats = posting_stats(postings)
-    length = mean = None
-    rows = terms.join(stats, ["term", "doc_id"])
-    if normalised:
-        lengths = stats.groupBy("doc_id").agg(F.sum("freq").cast("double").alias("length"))
-        rows = rows.join(lengths, "doc_id")
-        length, mean = F.col("length"), lengths.agg(F.avg("length")).scalar()
-    score = dfr_score(F.col("freq"), F.col("df"), F.col("occurrences"), n, length, mean, information, after_effect)
-    return rows.select("doc_id", "term", "freq", "df", F.round(score, 9).alias("score"))
+    Postings and terms are brought together by term and record in one shuffle, where no key is hot, and written; term
+    totals and lengths are sums over that table, and the totals of frequent terms are joined by broadcast.
+    """
+    listed = postings.where(F.col("term").isNotNull()).select("term", F.col("doc_id").cast("long").alias("doc_id"), F.col("freq").cast("long").alias("freq"), F.lit(False).alias("asked"))
+    asked = terms.select("term", F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("freq"), F.lit(True).alias("asked"))
+    cells = listed.unionByName(asked).groupBy("term", "doc_id").agg(F.max("freq").alias("freq"), F.max("asked").alias("asked"))
+    cells = cut(cells.where("freq is not null"))
+    totals = cut(cells.groupBy("term").agg(F.count("*").alias("df"), F.sum("freq").alias("occurrences")))
+    lengths = cells.groupBy("doc_id").agg(F.sum("freq").cast("double").alias("length"))
+    mean = lengths.agg(F.avg("length")).scalar()
+    # a left join, as every record of a cell has a length: it goes where only the weight is read
+    rows = join_hot(cells.where("asked").select("term", "doc_id", "freq"), totals, ["term"], "df").join(lengths, "doc_id", "left")
+    score = dfr_score(F.col("freq"), F.col("df"), F.col("occurrences"), n, F.col("length"), mean)
+    weight = dfr_score(F.col("freq"), F.col("df"), F.col("occurrences"), n, information="idf", after_effect="none")
+    return rows.select("doc_id", "term", "freq", "df", F.round(score, 9).alias("score"), F.round(weight, 9).alias("weight"))
 
 
 def score_centroids(entries: DataFrame, counters: DataFrame, n: Column, c: float = 1.0) -> DataFrame:
@@ -72,13 +73,13 @@ def score_centroids(entries: DataFrame, counters: DataFrame, n: Column, c: float
     score; repeated entries count once.
     """
     rows = entries.select("cluster_id", "term", "tf_idf").where("cluster_id is not null and tf_idf is not null").distinct()
-    rows = rows.join(counters.where("records > 0"), "term").withColumn("freq", F.col("tf_idf") * F.col("records"))
+    rows = join_hot(rows, cut(counters.where("records > 0")), ["term"], "records").withColumn("freq", F.col("tf_idf") * F.col("records"))
     lengths = rows.groupBy("cluster_id").agg(F.sum("freq").alias("length"))
     score = dfr_score(F.col("freq"), F.col("records"), F.col("occurrences"), n, F.col("length"), lengths.agg(F.avg("length")).scalar(), c=c)
     return rows.join(lengths, "cluster_id").select("cluster_id", "term", F.round(score, 7).alias("score"))
 
 
-def most_distinctive(scores: DataFrame, k: int = 3) -> DataFrame:
-    """The k terms of each record with the highest score, ties to the term first in code point order."""
-    ranked = Window.partitionBy("doc_id").orderBy(F.desc("score"), "term")
+def most_distinctive(scores: DataFrame, k: int = 3, by: str = "score") -> DataFrame:
+    """The k terms of each record with the highest score (or weight), ties to the term first in code point order."""
+    ranked = Window.partitionBy("doc_id").orderBy(F.desc(by), "term")
     return scores.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

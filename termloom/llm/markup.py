@@ -2,15 +2,21 @@
 
 A text is read once from left to right. Headings, lists, code blocks, formulas and tables of HTML, Markdown, wiki and
 LaTeX become lines of one plain notation; what stands inside a list, code block, formula or table belongs to it. All
-other markup is taken off. Then the line-block distribution of the stripped text (text length summed over sliding
-windows of lines) is taken: text between a surge and the next dive stays, structure lines always do.
+other markup is taken off. Of each line it is known how much text stays, and which kinds of markup went, how much of it.
+
+Line-block distributions decide what comes out. Sums of the stripped markup over sliding windows of lines surge and dive:
+the elements are the kinds of markup between. Sums of the text do likewise: text between a surge and the next dive stays,
+structure lines always do. A window with little markup for its text is a surge however short, so that plain lines never
+go; lines that are next to nothing but markup, as those of link bars, do.
 """
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -32,8 +38,9 @@ TAGS = (
     "gallery includeonly noinclude nowiki onlyinclude page poem ref references syntaxhighlight templatestyles text timeline"
 ).split()
 _NAMES = "|".join(sorted(TAGS, key=len, reverse=True))
+SHARE = 8
 HOLE = "\uFFFC"  # stands for the place of a child node
-_ATTRS = r"(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)|\s+[\w:-]{2,})*"
+_ATTRS = r"(?:\s+[\w:.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)|\s+[\w:-]{2,})*"
 _LATEX_CODE, _LATEX_MATH = "verbatim|Verbatim|lstlisting|minted|alltt", "equation|align|alignat|gather|multline|eqnarray|displaymath|math|flalign"
 _LATEX_TABLE, _LATEX_LIST = "tabular|tabularx|longtable|table|tabulary", "itemize|enumerate|description"
 
@@ -47,8 +54,8 @@ _OPAQUE = re.compile(
   | (?P<formula> <(?P<f1>math|chem)\b[^<>]*>(?P<f1b>.*?)(?:</(?P=f1)\s*>|\Z)
       | <(?P<f2>span|div)\b[^<>]*\bclass\s*=\s*["']?[^"'<>]*\bmath\b[^<>]*>(?P<f2b>.*?)(?:</(?P=f2)\s*>|\Z)
       | \\begin\{{(?P<f3>{_LATEX_MATH})\*?\}}(?P<f3b>.*?)(?:\\end\{{(?P=f3)\*?\}}|\Z)
-      | (?<![\\$])\$\$(?P<f4b>[^$]+)\$\$ | (?<!\\)\\\[(?P<f5b>.+?)\\\] | (?<!\\)\\\((?P<f6b>.+?)\\\)
-      | (?<![\\$\w])\$(?P<f7b>(?![\s\d$])[^$\n]*?(?<![\s\\]))\$(?![\w$]) | (?<![\\$\w])\$(?P<f8b>\d[^$\n]*?[\\^_={{}}+][^$\n]*?(?<![\s\\]))\$(?![\w$]) )
+      | (?<![\\$])\$\$(?P<f4b>[^$]+)\$\$ | (?<!\\)\\\[(?P<f5b>(?:(?!\\\[).)+?)\\\] | (?<!\\)\\\((?P<f6b>(?:(?!\\\().)+?)\\\)
+      | (?<![\\$\w])\$(?P<f7b>(?![\s\d$])[^$\n]*?(?<![\s\\]))\$(?![\w$]) | (?<![\\$\w])\$(?=\d[^$\n]*[\\^_={{}}+])(?P<f8b>[^$\n]+(?<![\s\\]))\$(?![\w$]) )
   | (?P<table> <(?P<t1>table)\b[^<>]*>.*?(?:</table\s*>|\Z) | ^[:* ]*\{{\|.*?(?:^\|\}}|\Z) | \\begin\{{(?P<t3>{_LATEX_TABLE})\*?\}}.*?(?:\\end\{{(?P=t3)\*?\}}|\Z) )
   | (?P<list> <(?P<l1>ul|ol|dl)\b[^<>]*>.*?(?:</(?P=l1)\s*>|\Z) | \\begin\{{(?P<l2>{_LATEX_LIST})\}}.*?(?:\\end\{{(?P=l2)\}}|\Z) )
   | (?P<heading> <h(?P<h1>[1-6])\b[^<>]*>(?P<h1b>.*?)(?:</h[1-6]\s*>|\Z)
@@ -78,12 +85,12 @@ _INLINE: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
     (re.compile(r"^ {0,3}\[[^\]\n]+\]:[ \t]*\S+.*$", re.M), _DROP),
     (re.compile(r"!\[([^\]\n]*)\]\([^()\n]*\)"), _KEEP),
     (re.compile(r"\[([^\[\]\n]+)\]\((?:[^()\s]|\([^()\s]*\))+(?:[ \t]+[\"'(][^\n]*?[\"')])?\)"), _KEEP),
-    (re.compile(r"(?:\\\*)?\[\^[^\]\n]+\]"), _DROP),
+    (re.compile(r"(?:\\\*)?\[\^[^\[\]\n]+\]"), _DROP),
     (re.compile(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]"), _KEEP),
     (re.compile(r"\[(?:https?:|ftp:|mailto:|/)[^\s\]]*[ \t]*([^\]\n]*)\]"), _KEEP),
     (re.compile(r"``(?=[^\s`])([^`'\n]*(?:'(?!')[^`'\n]*)*)''"), _KEEP),
     (re.compile(r"(?<!`)(`{1,2})(?!`)([^`\n]+)\1(?!`)"), lambda m: m[2]),
-    (re.compile(r"(?<![\w'])('{2,5})(?=[^\s'])([^\n]*?[^\s'])\1(?!')"), lambda m: m[2]),
+    *[(re.compile(r"(?<![\w'])('{2,5})(?=[^\s'])((?:[^\n']|'(?!'))*?[^\s'])\1(?!')"), lambda m: m[2])] * 2,  # inner, then outer
     (re.compile(r"(?<![\w*\\])(\*{1,3})(?=[^\s*])([^\n*]*[^\s*])\1(?![\w*])"), lambda m: m[2]),
     (re.compile(r"(?<![\w\\])(_{1,3})(?=[^\s_])([^\n_]*[^\s_])\1(?!\w)"), lambda m: m[2]),
     (re.compile(r"~~(?=[^\s~])([^~\n]+)~~"), _KEEP),
@@ -95,74 +102,128 @@ _INLINE: list[tuple[re.Pattern, Callable[[re.Match], str]]] = [
     (re.compile(r"^[ \t]{0,3}>(?: ?>)*[ \t]+", re.M), _DROP),
     (re.compile(r"__(?:NO)?(?:TOC|EDITSECTION|INDEX|FORCETOC)__"), _DROP),
 ]
-_ANY = re.compile(r"[<&\[{\\$*_`~'#=|>+;:•-]|^\s*\d{1,3}[.)]\s", re.M)
+_INDENT = re.compile(r"(?:^|(?<=\n))[ \t]*:[ \t:]*\Z")
+_PLACE = re.compile(r"\x01(\d+)\x01")
+_ANY = re.compile(r"[<&\[{\\$*_`~'#=|>+;:•-]|^[^\S\n]*\d{1,3}[.)]\s", re.M)
 
 
-class _Reader:
-    def __init__(self) -> None:
-        self.found: set[str] = set()
+class Line(NamedTuple):
+    """A line of the stripped text: its kind ('' for running text), what stays, how many characters of markup went, and
+    the kinds of elements they were of."""
 
-    def inline(self, text: str) -> str:
-        """The text without inline markup."""
+    kind: str
+    text: str
+    markup: int = 0
+    elements: frozenset[str] = frozenset()
 
-        def tag(m: re.Match) -> str:
-            self.found.add("inline")
-            return "\n" if m[2].lower() in ("br", "p", "div", "hr") else ""
 
-        def entity(m: re.Match) -> str:
-            if m[1] and m[1] + ";" not in html.entities.html5:
-                return m[0]
-            self.found.add("inline")
-            return html.unescape(m[0])
+_INLINE_ONLY = frozenset(["inline"])
+
+
+def _both(x: Line | None, y: Line | None) -> Line:
+    """The first with the markup of the second."""
+    if x is None or y is None:
+        return x or y
+    return x._replace(markup=x.markup + y.markup, elements=x.elements | y.elements)
+
+
+def _without_inline(text: str) -> str:
+    """The text without inline markup."""
+
+    def tag(m: re.Match) -> str:
+        return "\n" if m[2].lower() in ("br", "p", "div", "hr") else ""
+
+    def entity(m: re.Match) -> str:
+        return m[0] if m[1] and m[1] + ";" not in html.entities.html5 else html.unescape(m[0])
+
+    text = _TAG.sub(tag, text)
+    for pattern, keep in _INLINE:
+        text = pattern.sub(keep, text)
+    return _ENTITY.sub(entity, text)
+
+
+def _inline_lines(text: str) -> list[Line]:
+    """The lines of running text, stripped. Where markup holds line ends, all of its lines count as marked."""
+    stripped = _without_inline(text)
+    if stripped == text:
+        return [Line("", x) for x in text.split("\n")]
+    before, after = text.split("\n"), stripped.split("\n")
+    if len(before) != len(after):
+        gone = max(1, -(-abs(len(text) - len(stripped)) // len(after)))
+        return [Line("", x, gone, _INLINE_ONLY) for x in after]
+    return [Line("", y, max(1, len(x) - len(y)), _INLINE_ONLY) if x != y else Line("", y) for x, y in zip(before, after)]
 
-        text = _TAG.sub(tag, text)
-        for pattern, keep in _INLINE:
-            new, n = pattern.subn(keep, text)
-            if n:
-                self.found.add("inline")
-                text = new
-        return _ENTITY.sub(entity, text)
 
-    def read(self, text: str) -> list[tuple[str, str]]:
-        """(kind, line) of the text, kind '' for running text."""
-        out: list[tuple[str, str]] = []
+class _Reader:
+    def __init__(self) -> None:
+        self.pairs: dict[str, dict[int, int]] = {}
+
+    def closing(self, text: str, tag: str, start: int) -> int | None:
+        """The end of the element or braces that open at start and may hold others of their name, None if nothing closes
+        them. All of a name are matched in one pass."""
+        if tag not in self.pairs:
+            found, open_ = {}, []
+            pattern = r"(\}\})|\{\{" if tag == "{{" else rf"<(/)?{tag}\b[^<>]*>"
+            for m in re.finditer(pattern, text, re.I):
+                if not m[1]:
+                    open_.append(m.start())
+                elif open_:
+                    found[open_.pop()] = m.end()
+            self.pairs[tag] = found
+        return self.pairs[tag].get(start)
+
+    def read(self, text: str) -> list[Line]:
+        """The lines of the text without its markup."""
+        blocks: list[Line] = []
         plain: list[str] = []
-        at = 0
+        gone: dict[int, Line] = {}  # of each line what went from it without a trace
+        at = on = 0
         while m := _OPAQUE.search(text, at):
             kind, stop = m.lastgroup if m.lastgroup in ("comment", "braces") else next(k for k in ("code", "formula", "table", "list", "heading", "comment", "braces") if m[k] is not None), m.end()
             plain.append(text[at : m.start()])
+            on += text.count("\n", at, m.start())
+            body, element, inline = "", kind, True
             if kind == "comment":
-                self.found.add("inline")
+                element = "inline"
             elif kind == "braces":
-                stop = _closing(text, m.start())
+                stop = self.closing(text, "{{", m.start())
+                if stop is None:  # cut braces end with their line
+                    stop = text.find("\n", m.start())
+                    stop = len(text) if stop < 0 else stop
                 inner = text[m.end() : stop].removesuffix("}}")
+                element = "inline"
                 if re.match(r"\s*(?:math|mvar|sfrac|chem)\s*\|", inner, re.I):
-                    self.found.add("formula")
-                    plain.append(f"\x01{len(out)}\x01")
-                    out.append(("formula", "$" + _Reader().inline(inner.partition("|")[2].replace("{{=}}", "=")).strip() + "$"))
-                else:
-                    self.found.add("inline")
+                    element, body = "formula", "$" + _without_inline(inner.partition("|")[2].replace("{{=}}", "=")).strip() + "$"
             else:
                 if kind in ("list", "table") and (m["l1"] or m["t1"]):
-                    stop = _balanced(text, m.start(), (m["l1"] or m["t1"]).lower(), m.end())
-                self.found.add(kind)
+                    stop = self.closing(text, (m["l1"] or m["t1"]).lower(), m.start()) or stop
                 body = self._render(kind, m, text[m.start() : stop])
-                inline = kind == "formula" and "\n" not in m[0] and (text[: m.start()].rpartition("\n")[2] + text[stop:].partition("\n")[0]).strip(f" \t:{HOLE}")
-                plain.append(f"\x01{len(out)}\x01" if inline else f"\n\x01{len(out)}\x01\n")
-                out.append((kind, body))
+                inline = kind == "formula" and "\n" not in m[0] and _text_beside(text, m.start(), stop)
+            if element == "inline":
+                gone[on] = _both(gone.get(on), Line("", "", stop - m.start(), _INLINE_ONLY))
+                at = max(stop, m.start() + 1)
+                continue
+            on += 0 if inline else 2
+            if not inline:
+                plain[-1] = _INDENT.sub("", plain[-1])
+            plain.append(f"\x01{len(blocks)}\x01" if inline else f"\n\x01{len(blocks)}\x01\n")
+            extra = _INLINE_ONLY if kind == "heading" and _without_inline(m["h1b"] or m["h2b"] or "") != (m["h1b"] or m["h2b"] or "") else frozenset()
+            blocks.append(Line(element, body, max(1, stop - m.start() - len(body)), frozenset([element]) | extra))
             at = max(stop, m.start() + 1)
         plain.append(text[at:])
-        blocks, lines = out, self._lines("".join(plain))
-        done: list[tuple[str, str]] = []
-        for kind, line in lines:
-            if whole := re.fullmatch(r"[ \t:]*\x01(\d+)\x01[ \t]*", line):
-                done.append(blocks[int(whole[1])])
-            else:
-                done.append((kind, re.sub(r"\x01(\d+)\x01", lambda g: blocks[int(g[1])][1], line)))
+        done: list[Line] = []
+        for line in self._lines("".join(plain), gone):
+            held = [blocks[int(k)] for k in _PLACE.findall(line.text)]
+            if not held:
+                done.append(line)
+                continue
+            kind = held[0].kind if len(held) == 1 and held[0].text and re.fullmatch(r"[ \t:]*\x01\d+\x01[ \t]*", line.text) else line.kind
+            text_ = held[0].text if kind and not line.kind else _PLACE.sub(lambda g: blocks[int(g[1])].text, line.text)
+            done.append(Line(kind, text_, line.markup + sum(x.markup for x in held), line.elements.union(*[x.elements for x in held])))
         return done
 
     def _render(self, kind: str, m: re.Match, whole: str) -> str:
-        quiet = _Reader()  # markup inside belongs to the element
+        # markup inside belongs to the element
         if kind == "code":
             body = next(b for b in (m["c1b"], m["c2b"], m["c3b"]) if b is not None)
             if m["c1"]:
@@ -176,11 +237,11 @@ class _Reader:
         if kind == "heading":
             level = int(m["h1"]) if m["h1"] else _LEVEL[m["h2"].lower()]
             text = m["h1b"] if m["h1"] else m["h2b"]
-            return "#" * level + " " + " ".join(self.inline(text).split())
+            return "#" * level + " " + " ".join(_without_inline(text).split())
         if kind == "list":
             items = re.split(r"<(?:li|dt|dd)\b[^<>]*>", whole, flags=re.I)[1:] if whole[0] == "<" else re.split(r"\\item\b(?:\[[^\]]*\])?", whole)[1:]
             items = [re.sub(r"\\(?:begin|end)\{\w+\*?\}", "", i) for i in items]
-            return "\n".join("- " + " ".join(quiet.inline(i).split()) for i in items if i.strip())
+            return "\n".join("- " + " ".join(_without_inline(i).split()) for i in items if i.strip())
         if whole[0] == "<":
             rows = [re.split(r"<t[dh]\b[^<>]*>", r, flags=re.I)[1:] for r in re.split(r"<tr\b[^<>]*>", whole, flags=re.I)]
         elif whole[0] == "\\":
@@ -189,81 +250,72 @@ class _Reader:
         else:
             inner = re.sub(r"^[:* ]*\{\|[^\n]*|^\|\}", "", whole, flags=re.M)
             rows = [[c for line in r.split("\n") for c in re.split(r"!!|\|\|", line.strip().lstrip("!|")) if c.strip()] for r in re.split(r"^\|-.*$", inner, flags=re.M)]
-        cells = [[" ".join(quiet.inline(c).split()) for c in r] for r in rows]
+        cells = [[" ".join(_without_inline(c).split()) for c in r] for r in rows]
         return "\n".join("| " + " | ".join(r) + " |" for r in cells if any(r))
 
-    def _lines(self, text: str) -> list[tuple[str, str]]:
-        """Elements that lines make: headings, lists and tables of wiki markup and Markdown."""
+    def _lines(self, text: str, gone: dict[int, Line]) -> list[Line]:
+        """The lines, with the elements that lines make: headings, lists and tables of wiki markup and Markdown."""
         lines = text.split("\n")
-        out: list[tuple[str, str]] = []
+        out: list[Line] = []
         running: list[str] = []
-        quiet = _Reader()
+        i = first = 0
 
         def flush() -> None:
             if running:
-                out.extend(("", x) for x in self.inline("\n".join(running)).split("\n"))
+                got = _inline_lines("\n".join(running))
+                if len(got) == len(running):
+                    got = [_both(x, gone.get(first + k)) for k, x in enumerate(got)]
+                else:
+                    lost = [gone[k] for k in range(first, first + len(running)) if k in gone]
+                    got = [functools.reduce(_both, lost, x) for x in got]
+                out.extend(got)
                 running.clear()
 
-        i = 0
+        def add(kind: str, line: str, raw: str, at: int, extra: frozenset[str] = frozenset()) -> None:
+            out.append(_both(Line(kind, line, max(1, len(raw) - len(line)), frozenset([kind]) | extra), gone.get(at)))
+
         while i < len(lines):
             line = lines[i].replace(HOLE, " ").rstrip()
-            if i + 1 < len(lines) and "|" in line and _TABLE_RULE.match(lines[i + 1].replace(HOLE, " ")):
+            if i + 1 < len(lines) and "|" in line and _TABLE_RULE.match(lines[i + 1].replace(HOLE, " ").strip()):
                 flush()
-                self.found.add("table")
                 while i < len(lines) and "|" in lines[i]:
-                    if not _TABLE_RULE.match(lines[i].replace(HOLE, " ")):
+                    if not _TABLE_RULE.match(lines[i].replace(HOLE, " ").strip()):
                         cells = lines[i].replace(HOLE, " ").strip().strip("|").split("|")
-                        out.append(("table", "| " + " | ".join(quiet.inline(c).strip() for c in cells) + " |"))
+                        add("table", "| " + " | ".join(_without_inline(c).strip() for c in cells) + " |", lines[i], i)
                     i += 1
                 continue
             n = _list_run(lines, i)
             if n:
                 flush()
-                self.found.add("list")
-                for x in lines[i : i + n]:
+                for at, x in enumerate(lines[i : i + n], i):
                     g = _BULLET.match(x.replace(HOLE, " ").rstrip())
-                    out.append(("list", "- " + quiet.inline(next(v for v in g.groups() if v is not None)).strip()))
+                    add("list", "- " + _without_inline(next(v for v in g.groups() if v is not None)).strip(), x, at)
                 i += n
                 continue
             if m := _WIKI_HEADING.match(line) or _ATX.match(line):
                 flush()
-                self.found.add("heading")
-                out.append(("heading", "#" * len(m[1]) + " " + self.inline(m[2])))
-            elif line.strip() and i + 1 < len(lines) and (m := _UNDER.match(lines[i + 1].replace(HOLE, " "))) and "\x01" not in line and (i == 0 or not lines[i - 1].strip()):
+                text = _without_inline(m[2])
+                add("heading", "#" * len(m[1]) + " " + text, line, i, _INLINE_ONLY if text != m[2] else frozenset())
+            elif line.strip() and i + 1 < len(lines) and (m := _UNDER.match(lines[i + 1].replace(HOLE, " ").rstrip())) and "\x01" not in line and (i == 0 or not lines[i - 1].strip()):
                 flush()
-                self.found.add("heading")
-                out.append(("heading", ("# " if m[1][0] == "=" else "## ") + self.inline(line.strip())))
+                text = _without_inline(line.strip())
+                add("heading", ("# " if m[1][0] == "=" else "## ") + text, line, i, _INLINE_ONLY if text != line.strip() else frozenset())
                 i += 1
             elif _RULE.match(line):
                 flush()
-                self.found.add("inline")
+                out.append(_both(Line("", "", len(line), _INLINE_ONLY), gone.get(i)))
             else:
+                first = first if running else i
                 running.append(lines[i])
             i += 1
         flush()
         return out
 
 
-def _closing(text: str, start: int) -> int:
-    """The end of the braces that open at start; a cut one ends with its line."""
-    depth, at = 0, start
-    for m in re.finditer(r"\{\{|\}\}", text[start:]):
-        depth += 1 if m[0] == "{{" else -1
-        at = start + m.end()
-        if depth == 0:
-            return at
-    end = text.find("\n", start)
-    return len(text) if end < 0 else end
-
-
-def _balanced(text: str, start: int, tag: str, end: int) -> int:
-    """The end of the element that opens at start, which may hold others of its name."""
-    depth = 0
-    for m in re.finditer(rf"<(/?){tag}\b[^<>]*>", text[start:], re.I):
-        depth += -1 if m[1] else 1
-        if depth == 0:
-            return start + m.end()
-    return end
+def _text_beside(text: str, start: int, stop: int) -> bool:
+    """Whether the line has more than what stands from start to stop."""
+    low, high = text.rfind("\n", 0, start) + 1, text.find("\n", stop)
+    return bool((text[low:start] + text[stop : len(text) if high < 0 else high]).strip(f" \t:{HOLE}"))
 
 
 def _list_run(lines: list[str], at: int) -> int:
@@ -278,7 +330,7 @@ def _list_run(lines: list[str], at: int) -> int:
             return "star"
         if re.match(r"\s*(?:[+•-]|\d{1,3}[.)])[ \t]+\S", x):
             return "-" if x.lstrip()[0] in "+•-" else "1"
-        if re.match(r"[*#:;]*[*#]+[ \t]+\S", x):
+        if re.match(r"[*#:;]*[*#][ \t]+\S", x):
             return "#" if x[0] == "#" else "wiki"
         if re.match(r";[ \t]*\S.*:", x):
             return ";"
@@ -296,21 +348,25 @@ def _list_run(lines: list[str], at: int) -> int:
     return n if n >= least else 0
 
 
-def line_blocks(lengths: np.ndarray, window: int = 3, surge: int = 8) -> np.ndarray:
-    """Which lines lie between a surge (the window's text grows to ``surge`` or more) and the next dive (to nothing)."""
+def line_blocks(lengths: np.ndarray, against: np.ndarray | None = None, window: int = 3, surge: int = 8) -> np.ndarray:
+    """Which lines lie between a surge and the next dive of a line-block distribution: the window of lines from one on
+    grows to ``surge``, or to 1 / SHARE of what there is ``against`` it; it dives where it has nothing."""
     n = len(lengths)
     if not n:
         return np.zeros(0, bool)
-    total = np.r_[0, np.cumsum(lengths)]
-    block = total[np.minimum(np.arange(n) + window, n)] - total[:n]
-    keep, inside = np.zeros(n, bool), False
-    for i in range(n):
-        if not inside and block[i] >= surge:
-            inside = True
-        elif inside and block[i] == 0:
-            inside = False
-        keep[i] = inside
-    return keep & (lengths > 0)
+
+    def block(x: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(x)]
+        return total[np.minimum(np.arange(n) + window, n)] - total[:n]
+
+    sums = block(lengths)
+    up = sums >= surge
+    if against is not None:
+        up |= (sums > 0) & (SHARE * sums >= block(against))
+    # a line is inside if since the last dive there was a surge
+    at = np.arange(n)
+    last = lambda mark: np.maximum.accumulate(np.where(mark, at, -1))
+    return (last(up) > last(sums == 0)) & (lengths > 0)
 
 
 def clean(text: str | None, tag: str | None = None, window: int = 3, surge: int = 8) -> tuple[str, list[str]]:
@@ -324,17 +380,18 @@ def clean(text: str | None, tag: str | None = None, window: int = 3, surge: int
         return text, []
     marked = text.replace("<>", HOLE).replace("\r\n", "\n").replace("\r", "\n").replace("\x01", " ")
     if not _ANY.search(marked):
-        return _plain(marked), []
-    reader = _Reader()
-    lines = reader.read(marked)
-    length = np.array([0 if kind else len("".join(x.replace(HOLE, "").split())) for kind, x in lines])
-    keep = line_blocks(length, window, surge) | (length > 0) & (length.sum() < surge)
-    kept = [x if kind or k else "" for (kind, x), k in zip(lines, keep)]
-    return _plain("\n".join(kept)), [e for e in ELEMENTS if e in reader.found]
+        return _plain(marked), []  # no markup anywhere: all lines would stay
+    lines = _Reader().read(marked)
+    markup = np.array([x.markup for x in lines])
+    elements = frozenset().union(*[lines[i].elements for i in np.flatnonzero(line_blocks(markup, window=window, surge=1))])
+    length = np.array([0 if x.kind else len("".join(x.text.replace(HOLE, "").split())) for x in lines])
+    keep = line_blocks(length, markup, window, surge)
+    kept = [x.text if x.kind or k else "" for x, k in zip(lines, keep)]
+    return _plain("\n".join(kept)), [e for e in ELEMENTS if e in elements]
 
 
 def _plain(text: str) -> str:
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+(?=\n|\Z)", "", text.replace(HOLE, ""))).strip("\n ")
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(x.rstrip(" \t") for x in text.replace(HOLE, "").split("\n"))).strip("\n ")
 
 
 def clean_column(df: DataFrame, key: str, text: str, tag: str | None = None) -> DataFrame:

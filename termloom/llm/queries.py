@@ -39,15 +39,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_terms(spark, d).where("mark is not null").select("term", "mark")
 
 
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
+def _scores(spark: SparkSession, d: str) -> DataFrame:
     terms = distinct.record_terms(table(spark, d, "document_vector"))
-    scores = distinct.score_terms(terms, _postings(spark, d), _pages(spark, d).scalar(), "idf", "none", normalised=False)
-    return distinct.most_distinctive(scores, 3).select("doc_id", "term")
+    return distinct.score_terms(terms, _postings(spark, d), _pages(spark, d).scalar())
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """The ranking asked for is the family's degenerate member, the weight."""
+    return distinct.most_distinctive(_scores(spark, d), 3, "weight").select("doc_id", "term")
 
 
 def p5_scores(spark: SparkSession, d: str) -> DataFrame:
-    terms = distinct.record_terms(table(spark, d, "document_vector"))
-    return distinct.score_terms(terms, _postings(spark, d), _pages(spark, d).scalar())
+    return _scores(spark, d).drop("weight")
 
 
 def p5_centroids(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,7 @@ def test_counters(spark, same):
 
 def test_hot_term(spark, same):
     post = spark.createDataFrame([("hot", i % 500, 1) for i in range(1000)] + [("rare", 1, 1)], "term string, doc_id long, freq long")
+    same(termfreq.term_counters(post, block=16), [("hot", 500, 500), ("rare", 1, 1)])
     same(termfreq.term_counters(post), [("hot", 500, 500), ("rare", 1, 1)])
 
 
@@ -36,14 +37,23 @@ def tables(spark):
 def test_scores(tables, same):
     vectors, post = tables
     terms = distinct.record_terms(vectors.selectExpr("*", "1 AS term", "2 AS freq"))
-    got = distinct.score_terms(terms, post, F.lit(5), "idf", "none", normalised=False)
-    same(got, [(1, "a", 3, 2, round(3 * math.log(2.5), 9)), (1, "b", 4, 1, round(4 * math.log(5), 9)), (2, "a", 1, 2, round(math.log(2.5), 9))])
+    got = distinct.score_terms(terms, post, F.lit(5))
+    same(got.select("doc_id", "term", "freq", "df", "weight"), [(1, "a", 3, 2, round(3 * math.log(2.5), 9)), (1, "b", 4, 1, round(4 * math.log(5), 9)), (2, "a", 1, 2, round(math.log(2.5), 9))])
     rate = 4 / 5
-    want = (math.log2(1 + rate) + 3 * math.log2((1 + rate) / rate)) / 4
-    plain = {(r["doc_id"], r["term"]): r["score"] for r in distinct.score_terms(terms, post, F.lit(5), normalised=False).collect()}
-    assert plain[(1, "a")] == pytest.approx(want)
+    tf = 3 * math.log2(1 + 4 / 7)  # record 1 has 7 of 8 occurrences
+    want = (math.log2(1 + rate) + tf * math.log2((1 + rate) / rate)) / (tf + 1)
+    scores = {(r["doc_id"], r["term"]): r["score"] for r in got.collect()}
+    assert scores[(1, "a")] == pytest.approx(want)
     assert distinct.score_terms(terms.limit(0), post, F.lit(5)).count() == 0
-    assert [r["score"] for r in distinct.score_terms(terms, post, F.lit(0)).collect()] == [None] * 3
+    assert distinct.score_terms(terms, post.limit(0), F.lit(5)).count() == 0
+    assert [(r["score"], r["weight"]) for r in distinct.score_terms(terms, post, F.lit(0)).collect()] == [(None, None)] * 3
+
+
+def test_only_the_weight_reads_no_lengths(tables):
+    vectors, post = tables
+    scores = distinct.score_terms(distinct.record_terms(vectors), post, F.lit(5))
+    plan = distinct.most_distinctive(scores, 3, "weight").select("doc_id", "term")._jdf.queryExecution().optimizedPlan().toString()
+    assert "length" not in plan
 
 
 def test_ties_go_to_the_first_term(spark, same):

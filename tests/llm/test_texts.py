@@ -1,7 +1,9 @@
 """Markup, leakage, encoding with a tokenizer, garbled text."""
 
 import os
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -35,6 +37,46 @@ def test_bullets_as_the_only_markup():
     assert markup.clean("\u2022 one\n\u2022 two\n\u2022 three") == ("- one\n- two\n- three", ["list"])
 
 
+TEXT = "A sentence of plain words."
+HTML = ("<h2 class='x'>Name &amp; place</h2>\n<p>" + TEXT + "</p>\n<ul><li>one</li><li><b>two</b></li></ul>\n<pre>x = 1\n  y</pre>\n<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>\n<math>x^2</math>\n" + TEXT)
+MARKDOWN = f"## Name & place\n\n{TEXT}\n\n- one\n- **two**\n\n```py\nx = 1\n  y\n```\n\na | b\n--- | ---\n1 | 2\n\n$$\nx^2\n$$\n\n[{TEXT}](http://a.b/c)"
+WIKI = f"== Name & place ==\n{TEXT}\n* one\n* '''two'''\n<syntaxhighlight lang=c>\nx = 1\n  y\n</syntaxhighlight>\n{{| class=w\n! a !! b\n|-\n| 1 || 2\n|}}\n:<math display=block>x^2</math>\n{{{{cite|n=1}}}}[[Page|{TEXT}]]"
+LATEX = "\\section{Name \\& place}\n" + TEXT + "\n\\begin{itemize}\n\\item one\n\\item \\emph{two}\n\\end{itemize}\n\\begin{verbatim}\nx = 1\n  y\n\\end{verbatim}\n\\begin{tabular}{ll}\na & b \\\\ 1 & 2\n\\end{tabular}\n\\[x^2\\]\n\\textit{" + TEXT + "}"
+
+
+@pytest.mark.parametrize("written, level", [(HTML, 2), (MARKDOWN, 2), (WIKI, 2), (LATEX, 1)])
+def test_one_text_in_four_markups(written, level):
+    """The same clean text comes out of each, line for line."""
+    text, found = markup.clean(written)
+    assert [x for x in text.split("\n") if x] == ["#" * level + " Name & place", TEXT, "- one", "- two", "```", "x = 1", "  y", "```", "| a | b |", "| 1 | 2 |", "$x^2$", TEXT]
+    assert {"heading", "list", "code", "table", "formula", "inline"} >= set(found) >= {"heading", "list", "code", "table", "formula"}
+
+
+def test_lines_between_surge_and_dive():
+    short = "Hi.\n\nok\n\nx\n\nA longer line with a **bold** word in it.\n\nno"
+    assert markup.clean(short)[0] == short.replace("**", "")
+    assert markup.clean("<b>Hi</b>") == ("Hi", ["inline"])
+    bar = "[a](http://example.org/some/long/path)\n" * 5
+    assert markup.clean("Text that stays here.\n\n\n\n\n" + bar + "\n\n\n\n\nAnd text at the end.")[0] == "Text that stays here.\n\nAnd text at the end."
+    assert list(markup.line_blocks(np.array([0, 9, 0, 0, 0, 3, 0]))) == [False, True, False, False, False, False, False]
+    assert list(markup.line_blocks(np.array([3, 0]), np.array([0, 0]))) == [True, False] and not len(markup.line_blocks(np.zeros(0)))
+
+
+def test_elements_come_from_blocks_of_markup(monkeypatch):
+    monkeypatch.setattr(markup, "line_blocks", lambda lengths, *a, **k: np.zeros(len(lengths), bool))
+    assert markup.clean("== History ==\n\ntext")[1] == []
+
+
+@pytest.mark.parametrize("opener", ["\\[", "\\(", "[^", "{{a ", "<ul><ul></ul>", "$1=", "''a ", "<span class=math", "<br a=", "\n", "#", "*", " "])
+def test_time_grows_with_the_text(opener):
+    took = []
+    for size in (20_000, 160_000):
+        began = time.process_time()
+        markup.clean("z" + opener * (size // len(opener)) + "\n*z*")
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.2
+
+
 def test_long_markup():
     text = ("word " * 200 + "[[a|b]]\n\n") * 200 + "<b" * 3000 + "{{" * 2000 + "$" * 3001 + "[" * 3000
     assert "inline" in markup.clean(text)[1]
