@@ -15,10 +15,9 @@ from __future__ import annotations
 import functools
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -348,25 +347,23 @@ def _list_run(lines: list[str], at: int) -> int:
     return n if n >= least else 0
 
 
-def line_blocks(lengths: np.ndarray, against: np.ndarray | None = None, window: int = 3, surge: int = 8) -> np.ndarray:
+def line_blocks(lengths: Sequence[int], against: Sequence[int] | None = None, window: int = 3, surge: int = 8) -> list[bool]:
     """Which lines lie between a surge and the next dive of a line-block distribution: the window of lines from one on
     grows to ``surge``, or to 1 / SHARE of what there is ``against`` it; it dives where it has nothing."""
-    n = len(lengths)
-    if not n:
-        return np.zeros(0, bool)
-
-    def block(x: np.ndarray) -> np.ndarray:
-        total = np.r_[0, np.cumsum(x)]
-        return total[np.minimum(np.arange(n) + window, n)] - total[:n]
-
-    sums = block(lengths)
-    up = sums >= surge
-    if against is not None:
-        up |= (sums > 0) & (SHARE * sums >= block(against))
-    # a line is inside if since the last dive there was a surge
-    at = np.arange(n)
-    last = lambda mark: np.maximum.accumulate(np.where(mark, at, -1))
-    return (last(up) > last(sums == 0)) & (lengths > 0)
+    out, inside = [], False
+    block, other = sum(lengths[:window]), sum(against[:window]) if against is not None else 0
+    for i, length in enumerate(lengths):
+        if block >= surge or against is not None and block and SHARE * block >= other:
+            inside = True
+        elif not block:
+            inside = False
+        out.append(inside and length > 0)
+        if i + window < len(lengths):
+            block += lengths[i + window]
+            other += against[i + window] if against is not None else 0
+        block -= length
+        other -= against[i] if against is not None else 0
+    return out
 
 
 def clean(text: str | None, tag: str | None = None, window: int = 3, surge: int = 8) -> tuple[str, list[str]]:
@@ -382,9 +379,9 @@ def clean(text: str | None, tag: str | None = None, window: int = 3, surge: int
     if not _ANY.search(marked):
         return _plain(marked), []  # no markup anywhere: all lines would stay
     lines = _Reader().read(marked)
-    markup = np.array([x.markup for x in lines])
-    elements = frozenset().union(*[lines[i].elements for i in np.flatnonzero(line_blocks(markup, window=window, surge=1))])
-    length = np.array([0 if x.kind else len("".join(x.text.replace(HOLE, "").split())) for x in lines])
+    markup = [x.markup for x in lines]
+    elements = frozenset().union(*[x.elements for x, k in zip(lines, line_blocks(markup, window=window, surge=1)) if k])
+    length = [0 if x.kind else len("".join(x.text.replace(HOLE, "").split())) for x in lines]
     keep = line_blocks(length, markup, window, surge)
     kept = [x.text if x.kind or k else "" for x, k in zip(lines, keep)]
     return _plain("\n".join(kept)), [e for e in ELEMENTS if e in elements]

@@ -3,7 +3,6 @@
 import os
 import time
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,12 +57,12 @@ def test_lines_between_surge_and_dive():
     assert markup.clean("<b>Hi</b>") == ("Hi", ["inline"])
     bar = "[a](http://example.org/some/long/path)\n" * 5
     assert markup.clean("Text that stays here.\n\n\n\n\n" + bar + "\n\n\n\n\nAnd text at the end.")[0] == "Text that stays here.\n\nAnd text at the end."
-    assert list(markup.line_blocks(np.array([0, 9, 0, 0, 0, 3, 0]))) == [False, True, False, False, False, False, False]
-    assert list(markup.line_blocks(np.array([3, 0]), np.array([0, 0]))) == [True, False] and not len(markup.line_blocks(np.zeros(0)))
+    assert markup.line_blocks([0, 9, 0, 0, 0, 3, 0]) == [False, True, False, False, False, False, False]
+    assert markup.line_blocks([3, 0], [0, 0]) == [True, False] and markup.line_blocks([]) == []
 
 
 def test_elements_come_from_blocks_of_markup(monkeypatch):
-    monkeypatch.setattr(markup, "line_blocks", lambda lengths, *a, **k: np.zeros(len(lengths), bool))
+    monkeypatch.setattr(markup, "line_blocks", lambda lengths, *a, **k: [False] * len(lengths))
     assert markup.clean("== History ==\n\ntext")[1] == []
 
 
@@ -181,6 +180,44 @@ def test_no_case(model, text):
     assert mojibake.restore(text, model) == (text, False)
 
 
+OTHERS = {
+    "el": ["Η παλιά βιβλιοθήκη του λιμανιού είναι ανοιχτή κάθε πρωί για όλους τους επισκέπτες."] * 30, "cs": ["Staré město leží na řece a každý večer zde září světla, přístav je otevřen pro všechny."] * 30,
+    "tr": ["Eski liman şehrinde güneş doğarken balıkçılar ağlarını çeker, çocuklar kıyıda oynar."] * 30, "uk": ["Стара бібліотека біля річки відкрита щодня, її відвідують діти й учителі з усієї громади."] * 30,
+    "vi": ["Thư viện cũ bên bờ sông mở cửa mỗi ngày, trẻ em và giáo viên đều đến đọc sách."] * 30,
+}
+
+
+def test_languages_of_the_samples():
+    """Languages without fixed letters are learned from their texts."""
+    model = mojibake.Model(SAMPLES | OTHERS)
+    for lang, (text, *_) in OTHERS.items():
+        assert mojibake.restore(text.encode().decode("latin-1"), model) == (text, True), lang
+        assert mojibake.restore(text, model) == (text, False)
+    for lang, written, read in (("el", "cp1253", "cp1252"), ("cs", "cp1250", "cp1252"), ("tr", "cp1254", "cp1252"), ("uk", "cp1251", "cp1252")):
+        text = OTHERS[lang][0]
+        assert mojibake.restore(text.encode(written).decode(read), model) == (text, True), lang
+
+
+def test_unsure_texts_stay(model):
+    """A language nobody knows isn't turned into another script."""
+    bad = OTHERS["el"][0].encode("cp1253").decode("cp1252")
+    assert mojibake.restore(bad, model)[0] == bad
+
+
+def test_sign_inside_a_word():
+    model = mojibake.Model(SAMPLES | {"pl": SAMPLES["pl"] + ["Dziś można tu zobaczyć zbiór map, można też wejść na wieżę."] * 30})
+    assert mojibake.restore("Dziś mo¿na tu zobaczyć zbiór map", model) == ("Dziś można tu zobaczyć zbiór map", True)
+    assert mojibake.restore("¿Cuántos? Sí; 5£, 3€ • 20°C", model)[1] is False
+
+
+def test_sample_is_drawn_at_any_size(spark, monkeypatch):
+    """The bound of the draw is never 0, however many rows there are."""
+    df = spark.createDataFrame([(i, t, lang) for lang, ts in SAMPLES.items() for i, t in enumerate(ts)], "id long, text string, lang string")
+    model = mojibake.learn(df, "id", "text", "lang", texts=40)
+    assert all(model.words[k] and model.alphabet[k] > mojibake.COMMON for k in SAMPLES) and sum(len(v) > 8 for v in model.raw.values()) >= 3
+    assert min(1.0, 6000 / 7e12) * 2**63 > 1e9
+
+
 def test_lost_characters(model):
     assert mojibake.restore("caf\ufffd", model) == ("caf\ufffd", True)
 
