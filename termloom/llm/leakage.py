@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +71,11 @@ def winnow(grams: np.ndarray, window: int) -> np.ndarray:
     return np.unique(len(grams) - 1 - (view.argmin(1) + np.arange(len(view))))
 
 
-def _prints(span: int, k: int, only: np.ndarray | None, pad: int):
-    """only: the sorted hashes to keep."""
+def _prints(span: int, k: int, kept: Broadcast | None, pad: int):
+    """kept: the sorted hashes to keep."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        room = span - k
+        room, only = span - k, kept.value if kept is not None else None
         for pdf in batches:
             ids, prints, around = [], [], []
             for i, text in zip(pdf["id"], pdf["text"]):
@@ -120,7 +121,7 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, corpus_id: str, test_id: str
     small = items.limit(MAX_JOIN + 1).count() <= min(MAX_JOIN, max_broadcast)
     seen = items.select("print").distinct().limit(max_broadcast + 1).toPandas()["print"].to_numpy(np.int64)
     fits = len(seen) <= max_broadcast
-    only = np.sort(seen.view(np.uint64)) if fits else None
+    only = corpus.sparkSession.sparkContext.broadcast(np.sort(seen.view(np.uint64))) if fits else None
     docs = spread(_side(corpus, corpus_id, text)).mapInPandas(_prints(span, k, only, 2), run)
     hits = docs.join(F.broadcast(items) if small else items, "print").select(F.col("id").alias("doc_id"), "item_id", "around", "test_around")
 
