@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.session import cut
+
 #: Elements that never hold others.
 VOID = {"img", "input", "br", "hr", "frame", "area", "base", "basefont", "col", "isindex", "link", "meta", "param"}
 RAW = {"script", "style"}
@@ -123,7 +125,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     out = step
     further = links.select("page_id", F.col("node_id").alias("up"), F.col("parent_id").alias("next"))
     for _ in range(deepest - 1):
-        step = step.join(further, ["page_id", "up"]).select("page_id", "node_id", F.col("next").alias("up"))
+        step = cut(step.join(further, ["page_id", "up"]).select("page_id", "node_id", F.col("next").alias("up")))
         out = out.union(step)
     return out
 
@@ -164,7 +166,7 @@ def read_text(nodes: DataFrame, skip: str | None = None) -> DataFrame:
         parts = F.split("data", "<>")
         whole = F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.when(i < F.size(parts) - 1, F.coalesce(F.get("kids", i), F.lit(""))).otherwise(""))), "")
         level = text.select("page_id", "node_id", "parent_id", "ord", F.when(F.col("keep"), whole).otherwise("").alias("text"))
-        below = level
+        below = level = cut(level)  # else each level would be computed again for all above it
         done = level if done is None else done.union(level)
     return done.select("page_id", "node_id", "text")
 
@@ -187,7 +189,7 @@ def cards(nodes: DataFrame) -> DataFrame:
     """``page_id``, ``image``, ``intro``: the source of the first image of class thumbimage, else of the first image,
     without its two leading characters; the first paragraph of 4 characters or more not marked empty."""
     tag = clean_tag()
-    image = nodes.where(tag == "img").groupBy("page_id").agg(F.min_by(F.substring(attr("src"), 3, 1 << 20), F.struct((~F.coalesce(has_class("thumbimage"), F.lit(False))).alias("plain"), "node_id")).alias("image"))
+    image = nodes.where(tag == "img").groupBy("page_id").agg(F.min_by(F.substring(attr("src"), F.lit(3), F.length(attr("src"))), F.struct((~F.coalesce(has_class("thumbimage"), F.lit(False))).alias("plain"), "node_id")).alias("image"))
     own = F.trim(F.replace("data", F.lit("<>"), F.lit("")))
     intro = nodes.where((tag == "p") & (F.length(own) >= 4) & ~F.coalesce(has_class("mw-empty-elt"), F.lit(False))).groupBy("page_id").agg(F.min_by(own, "node_id").alias("intro"))
     pages = nodes.select("page_id").where("page_id is not null").distinct()

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.operators.similarity import cosines, top_k
+from termloom.operators.similarity import as_vectors, best_unseen
 from termloom.operators.skew import SALTS, salt_of
 
 
@@ -54,9 +54,10 @@ def candidates(votes: DataFrame, rows: DataFrame, norms: DataFrame, k: int = 5)
     """``user_id``, ``doc_id``, ``sim``, ``rank``: the k documents most similar to a user's profile, voted ones excluded."""
     profile = profiles(votes, rows)
     lengths = profile.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sims = cosines(profile.withColumnRenamed("user_id", "doc_id"), rows, lengths.withColumnRenamed("user_id", "doc_id"), norms)
-    sims = sims.join(votes.select(F.col("user_id").alias("a"), F.col("doc_id").alias("b")), ["a", "b"], "left_anti")
-    return top_k(sims, k).select(F.col("a").alias("user_id"), F.col("b").alias("doc_id"), "sim", "rank")
+    asks, docs = as_vectors(profile, lengths, "user_id"), as_vectors(rows, norms)
+    voted = votes.select(F.col("user_id").alias("a"), F.col("doc_id").alias("b"))
+    found = best_unseen(asks, docs, k, lambda pairs: voted.join(pairs, ["a", "b"], "left_semi"), ask="user_id")
+    return found.select(F.col("a").alias("user_id"), F.col("b").alias("doc_id"), "sim", "rank")
 
 
 def term_cells(votes: DataFrame, words: DataFrame, rows: DataFrame, stats: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -30,7 +32,8 @@ def true_norms(rows: DataFrame) -> DataFrame:
 
 def cosines(left: DataFrame, right: DataFrame, left_norms: DataFrame, right_norms: DataFrame) -> DataFrame:
     """``a``, ``b``, ``sim`` of all pairs with a common term; each side has doc_id, term, w. An absent term counts 0, so
-    the join is inner; a pair without a norm has no similarity and is left out."""
+    the join is inner; a pair without a norm has no similarity and is left out. For sides of few rows: a term costs the
+    product of its rows on both; ``best_matches`` doesn't."""
     a = left.select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa"))
     b = right.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb"))
     dots = a.join(b, "term").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
@@ -45,46 +48,79 @@ def top_k(sims: DataFrame, k: int, by: str = "a", other: str = "b") -> DataFrame
     return sims.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(rows: DataFrame, norms: DataFrame, queries: DataFrame, k: int, seen: DataFrame | None = None) -> DataFrame:
-    """The k nearest documents of each query document, itself and pairs (a, b) of ``seen`` excluded; ``a``, ``b``,
-    ``sim``, ``rank``.
+def as_vectors(rows: DataFrame, norms: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key``, ``norm``, ``ts`` (hashes of terms), ``ws``: one row per vector with a norm, as a written table. A vector has
+    at most as many entries as there are terms."""
+    some = rows.join(norms.where("norm is not null and norm != 0"), key).select(key, F.xxhash64("term").alias("t"), "w", "norm")
+    return cut(some.groupBy(key).agg(F.first("norm").alias("norm"), F.collect_list("t").alias("ts"), F.collect_list("w").alias("ws")))
+
 
-    Without ``seen``, blocks of queries meet chunks of documents, and only k rows a query leave each meeting: a term on
-    most documents costs arithmetic, never a row per pair.
+def best_matches(asks: DataFrame, docs: DataFrame, k: int, ask: str = "doc_id", doc: str = "doc_id", zeros: bool = False, others: bool = False) -> DataFrame:
+    """The k most similar of ``docs`` for each of ``asks``, both as as_vectors gives them: ``a``, ``b``, ``sim``, ``rank``,
+    ties to the smaller ``b``. With ``zeros`` those without a common term count too, with ``others`` none is its own.
+
+    Blocks of asking vectors meet chunks of documents, and only k rows a vector leave each meeting: a term on most
+    documents costs arithmetic, never a row per pair.
     """
-    if seen is not None:
-        sims = cosines(rows.join(queries, "doc_id", "left_semi"), rows, norms, norms).where("a != b")
-        return top_k(sims.join(seen, ["a", "b"], "left_anti"), k)
-    vectors = rows.join(norms.where("norm is not null and norm != 0"), "doc_id").select("doc_id", F.xxhash64("term").alias("t"), "w", "norm")
-    vectors = cut(vectors.groupBy("doc_id").agg(F.first("norm").alias("norm"), F.collect_list("t").alias("ts"), F.collect_list("w").alias("ws")))
-    asked = vectors.join(queries, "doc_id", "left_semi")
-    chunks, blocks = -(-vectors.count() // CHUNK) or 1, -(-asked.count() // BLOCK) or 1
-    spot = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(n)).cast("int")
-    left = vectors.withColumn("chunk", spot(chunks, 1)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", spot(blocks, 2)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    right = right.toDF(*right.columns)  # columns of its own: both sides come from one table
+    chunks, blocks = -(-docs.count() // CHUNK) or 1, -(-asks.count() // BLOCK) or 1
+    spot = lambda c, n, seed: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(n)).cast("int")
+    left = docs.select(F.col(doc).alias("key"), "norm", "ts", "ws", spot(doc, chunks, 1).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    right = asks.select(F.col(ask).alias("key"), "norm", "ts", "ws", spot(ask, blocks, 2).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    right = right.toDF(*right.columns)  # columns of its own: both sides may come from one table
+    kinds = f"a {asks.schema[ask].dataType.simpleString()}, b {docs.schema[doc].dataType.simpleString()}, sim double"
 
     def meet(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(asks):
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sim": np.zeros(0)})
-        docs, asks = docs.sort_values("doc_id"), asks.sort_values("doc_id")
+            return pd.DataFrame({"a": asks["key"][:0], "b": docs["key"][:0], "sim": np.zeros(0)})
+        docs, asks = docs.sort_values("key"), asks.sort_values("key")
         dots = np.zeros((len(asks), len(docs)))
         mine, theirs = by_term(asks), by_term(docs)
         for t in mine.keys() & theirs.keys():
             (i, x), (j, y) = mine[t], theirs[t]
             dots[i[:, None], j[None]] += x[:, None] * y[None]
         sims = np.round(dots / (asks["norm"].to_numpy()[:, None] * docs["norm"].to_numpy()[None]), 9)
-        a, b = asks["doc_id"].to_numpy(), docs["doc_id"].to_numpy()
-        sims[(dots == 0) | (a[:, None] == b[None])] = -np.inf
+        a, b = asks["key"].to_numpy(), docs["key"].to_numpy()
+        if not zeros:
+            sims[dots == 0] = -np.inf
+        if others:
+            sims[a[:, None] == b[None]] = -np.inf
         top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
         best = np.take_along_axis(sims, top, 1)
         i, j = np.nonzero(np.isfinite(best))
         return pd.DataFrame({"a": a[i], "b": b[top[i, j]], "sim": best[i, j]})
 
-    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, "a long, b long, sim double")
+    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, kinds)
     return top_k(met, k)
 
 
+def best_unseen(asks: DataFrame, docs: DataFrame, k: int, seen_of: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
+    """As best_matches, without the pairs (a, b) that ``seen_of`` gives of those it is asked about.
+
+    More than k are sought, and those seen left out; vectors that too few remain of are asked again for more, until they
+    have k or nothing is left: what is seen is looked up for the pairs found, never listed for all.
+    """
+    key = how.get("ask", "doc_id")
+    more, out = 4 * k, None
+    while True:
+        found = cut(best_matches(asks, docs, more, **how))
+        kept = found.join(seen_of(found.select("a", "b")), ["a", "b"], "left_anti")
+        state = found.groupBy("a").agg(F.count("*").alias("n")).join(kept.groupBy("a").agg(F.count("*").alias("kept")), "a", "left")
+        short = cut(state.where((F.col("n") == more) & (F.coalesce("kept", F.lit(0)) < k)).select("a"))
+        done = top_k(kept.join(short, "a", "left_anti").select("a", "b", "sim"), k)
+        out = done if out is None else out.union(done)
+        if not short.limit(1).count():
+            return out
+        asks, more = asks.join(short.withColumnRenamed("a", key), key, "left_semi"), 8 * more
+
+
+def nearest(rows: DataFrame, norms: DataFrame, queries: DataFrame, k: int, seen_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The k nearest documents of each query document, itself and the pairs that ``seen_of`` gives excluded; ``a``, ``b``,
+    ``sim``, ``rank``."""
+    docs = as_vectors(rows, norms)
+    asks = docs.join(queries, "doc_id", "left_semi")
+    return best_unseen(asks, docs, k, seen_of, others=True) if seen_of else best_matches(asks, docs, k, others=True)
+
+
 def by_term(vectors: pd.DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Row numbers and weights of each term."""
     count = vectors["ts"].map(len).to_numpy()

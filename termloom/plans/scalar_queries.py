@@ -31,7 +31,7 @@ def image_sources(spark: SparkSession, d: str) -> DataFrame:
     """Image sources without their two leading slashes, with content type and binary flag."""
     from termloom.operators import dom
 
-    src = F.substring(dom.attr("src"), 3, 1 << 20)
+    src = F.substring(dom.attr("src"), F.lit(3), F.length(dom.attr("src")))
     rows = table(spark, d, "yomu").where(dom.clean_tag() == "img").select("node_id", src.alias("image"))
     return rows.select("node_id", "image", tx.content_type(F.col("image")).alias("content_type"), tx.is_binary(F.col("image")).alias("is_binary"), F.contains("image", F.lit(".")).alias("has_type"))
 
