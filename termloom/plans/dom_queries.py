@@ -104,7 +104,21 @@ def _at(name: str) -> str:
 
 
 _PAGES = "pg AS (SELECT id AS page_id, min(wiki_page) AS w FROM page WHERE id IS NOT NULL AND wiki_page IS NOT NULL GROUP BY 1)"
+#: Levels that the SQL of deep_text spells out, from the deepest.
+_DEPTH = 12
+
+
+def _deep_text() -> str:
+    ctes = [f"n AS (SELECT page_id, node_id, parent_id, depth, ord, string_split(coalesce(data, ''), '<>') AS parts, coalesce({_T} <> 'style', true) AS keep FROM yomu WHERE page_id IS NOT NULL)"]
+    for k in range(_DEPTH, -1, -1):
+        below = f"SELECT page_id, parent_id, list(text ORDER BY ord, text) AS kids FROM l{k + 1} GROUP BY 1, 2" if k < _DEPTH else "SELECT page_id, parent_id, [''] AS kids FROM n WHERE false"
+        whole = "array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i < len(parts) THEN coalesce(kids[i], '') ELSE '' END), '')"
+        ctes.append(f"l{k} AS (SELECT n.page_id, n.node_id, n.parent_id, n.ord, CASE WHEN keep THEN {whole} ELSE '' END AS text FROM n LEFT JOIN ({below}) b ON b.page_id = n.page_id AND b.parent_id = n.node_id WHERE depth = {k})")
+    return "WITH " + ", ".join(ctes) + " " + " UNION ALL ".join(f"SELECT node_id, text FROM l{k}" for k in range(_DEPTH + 1))
+
+
 ORACLES = {
+    "deep_text": _deep_text(),
     "tag_counts": f"SELECT {_T} AS tag, count(*) AS n FROM yomu GROUP BY 1",
     "child_links": f"SELECT c.page_id, c.node_id, c.href FROM (SELECT *, {_T} AS t, {_at('href')} AS href FROM yomu) c JOIN (SELECT page_id, node_id, {_T} AS t FROM yomu) p ON p.page_id = c.page_id AND p.node_id = c.parent_id WHERE p.t = 'p' AND c.t = 'a'",
     "descendant_emphasis": f"""WITH RECURSIVE t AS (SELECT page_id, node_id, parent_id, {_T} AS t FROM yomu), up AS (SELECT page_id, node_id, parent_id AS up FROM t WHERE parent_id IS NOT NULL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,14 +75,15 @@ def fit_one_feature(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fit_per_label(spark: SparkSession, d: str) -> DataFrame:
-    """Least squares of the last component on the first four, per label, with the normal equations checked."""
+    """Least squares of the last component on the first four, per label, with the normal equations checked; rounded to 6
+    decimals."""
 
     def fit(m: np.ndarray) -> dict:
         got = la.least_squares(m[:, :4], m[:, -1])
         if got is None:
             return {"beta": None, "sigma": None, "normal_ok": None}
         beta, hat, sigma = got
-        return {"beta": [float(b) for b in beta], "sigma": sigma, "normal_ok": bool(np.abs(m[:, :4].T @ (m[:, -1] - hat)).max() < 1e-6)}
+        return {"beta": [round(float(b), 6) for b in beta], "sigma": round(sigma, 6), "normal_ok": bool(np.abs(m[:, :4].T @ (m[:, -1] - hat)).max() < 1e-6)}
 
     return la.per_group(_vectors(spark, d), "label", "a", fit, "label int, beta array<double>, sigma double, normal_ok boolean")
 
@@ -129,7 +132,24 @@ def _fold(e: str) -> str:
     return f"round(list_reduce(list_prepend(0.0::DOUBLE, {e}), lambda s, x: s * 0.5::DOUBLE + x), 5)"
 
 
+def _det(columns: list[str]) -> str:
+    """The determinant of the 4 x 4 matrix whose rows are 0..3 and whose columns are named."""
+    terms = []
+    for p in permutations(range(4)):
+        sign = "-" if sum(p[i] > p[j] for i in range(4) for j in range(i + 1, 4)) % 2 else "+"
+        terms.append(sign + " * ".join(f"{columns[p[i]]}{i}" for i in range(4)))
+    return "(" + " ".join(terms) + ")"
+
+
+#: Cramer's rule on the normal equations: sK_I = sum of x_K x_I, t_I = sum of x_I y.
+_SUMS = ", ".join(f"sum(a[{k + 1}] * a[{i + 1}]) AS s{k}_{i}" for k in range(4) for i in range(4)) + ", " + ", ".join(f"sum(a[{i + 1}] * a[-1]) AS t_{i}" for i in range(4))
+_S = [f"s{k}_" for k in range(4)]
+_BETA = ", ".join(f"{_det([*_S[:k], 't_', *_S[k + 1:]])} / {_det(_S)} AS b{k}" for k in range(4))
+
 ORACLES = {
+    "fit_per_label": f"""WITH x AS (SELECT label, {_A} AS a FROM embeddings), s AS (SELECT label, count(*) AS n, {_SUMS} FROM x GROUP BY 1),
+b AS (SELECT label, n, {_BETA} FROM s), r AS (SELECT label, n, b0, b1, b2, b3, a[-1] - (a[1] * b0 + a[2] * b1 + a[3] * b2 + a[4] * b3) AS off FROM x JOIN b USING (label))
+SELECT label, [round(b0, 6), round(b1, 6), round(b2, 6), round(b3, 6)] AS beta, round(CASE WHEN n > 5 THEN sqrt(sum(off * off) / (n - 5)) ELSE 'nan'::DOUBLE END, 6) AS sigma, true AS normal_ok FROM r GROUP BY label, n, b0, b1, b2, b3""",
     "vector_operations": f"""WITH t AS (SELECT vec_id, {_A} AS a, {_L} AS b FROM embeddings)
 SELECT vec_id, round(list_sum(list_transform(list_zip(a, b), lambda p: p[1] * p[2])), 5) AS dot, round(sqrt(list_sum(list_transform(a, lambda x: x * x))), 6) AS norm,
  {_fold('list_transform(list_zip(a, b), lambda p: p[1] + p[2])')} AS sum_fold, {_fold('list_transform(list_zip(a, b), lambda p: p[1] - p[2])')} AS diff_fold, {_fold('list_transform(a, lambda x: x * 2.5::DOUBLE)')} AS scale_fold,
