@@ -29,12 +29,15 @@ def english_stopwords(df: DataFrame) -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def without_stopwords(toks: DataFrame, words: list[str], prefixes: bool = False) -> DataFrame:
-    """Tokens that are no stopword, or with ``prefixes`` no non-empty prefix of one. A list up to SMALL_LIST entries is
-    sent to all executors, a longer one joined by a shuffle."""
-    bad = {w[:k] for w in words for k in range(1, len(w) + 1)} if prefixes else set(words)
-    table = toks.sparkSession.createDataFrame([(w,) for w in sorted(bad)], "term string")
-    return toks.join(F.broadcast(table) if len(bad) <= SMALL_LIST else table, "term", "left_anti")
+def without_stopwords(toks: DataFrame, words: list[str] | DataFrame, prefixes: bool = False) -> DataFrame:
+    """Tokens that are no stopword, or with ``prefixes`` no non-empty prefix of one. ``words`` is a list, or a table with a
+    column ``term`` such as read_stopwords gives. Up to SMALL_LIST words are sent to all executors, more are joined by a
+    shuffle."""
+    table = words if isinstance(words, DataFrame) else toks.sparkSession.createDataFrame([(w,) for w in words], "term string")
+    if prefixes:
+        table = table.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.substring("term", F.lit(1), k))).alias("term"))
+    table = table.select("term").distinct()
+    return toks.join(F.broadcast(table) if table.limit(SMALL_LIST + 1).count() <= SMALL_LIST else table, "term", "left_anti")
 
 
 def stemmed(tf: DataFrame) -> DataFrame:

@@ -82,6 +82,11 @@ def with_row(m: DataFrame, i: int, values: DataFrame) -> DataFrame:
     return m.where(F.col("i") != i).unionByName(values.select(F.lit(i).alias("i"), "j", "v"))
 
 
+def with_column(m: DataFrame, j: int, values: DataFrame) -> DataFrame:
+    """The matrix with column j replaced by ``values`` (i, v)."""
+    return m.where(F.col("j") != j).unionByName(values.select("i", F.lit(j).alias("j"), "v"))
+
+
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
     right = b.select(F.col("i").alias("k"), F.col("j").alias("j2"), F.col("v").alias("v2"))
     return a.join(right, a["j"] == right["k"]).groupBy("i", F.col("j2").alias("j")).agg(F.sum(F.col("v") * F.col("v2")).alias("v"))
@@ -153,8 +158,9 @@ def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return beta, fit, float(np.sqrt(((y - fit) ** 2).sum() / spare)) if spare > 0 else float("nan")
 
 
-def eigen(m: np.ndarray, tolerance: float = 1e-10, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, largest first, and unit eigenvectors with a first component of 0 or more, of a symmetric matrix."""
+def eigen(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, largest first, and unit eigenvectors with a first component of 0 or more, of a symmetric matrix,
+    to machine precision: no tolerance or number of rounds is needed."""
     values, vectors = np.linalg.eigh(m)
     order = np.argsort(-values)
     values, vectors = values[order], vectors[:, order]

@@ -67,9 +67,15 @@ def best_matches(asks: DataFrame, docs: DataFrame, k: int, ask: str = "doc_id",
     left = docs.select(F.col(doc).alias("key"), "norm", "ts", "ws", spot(doc, chunks, 1).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     right = asks.select(F.col(ask).alias("key"), "norm", "ts", "ws", spot(ask, blocks, 2).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
     right = right.toDF(*right.columns)  # columns of its own: both sides may come from one table
-    kinds = f"a {asks.schema[ask].dataType.simpleString()}, b {docs.schema[doc].dataType.simpleString()}, sim double"
+    return top_k(meet(left, right, ["chunk", "block"], k, zeros, others), k)
 
-    def meet(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+
+def meet(left: DataFrame, right: DataFrame, on: list[str], k: int, zeros: bool = False, others: bool = False) -> DataFrame:
+    """Of each group of ``on`` the k best vectors of ``left`` for each of ``right``: ``a``, ``b``, ``sim``. Both have key,
+    norm, ts, ws; a group of either side must fit a task."""
+    kinds = f"a {right.schema['key'].dataType.simpleString()}, b {left.schema['key'].dataType.simpleString()}, sim double"
+
+    def best(docs: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         if not len(docs) or not len(asks):
             return pd.DataFrame({"a": asks["key"][:0], "b": docs["key"][:0], "sim": np.zeros(0)})
         docs, asks = docs.sort_values("key"), asks.sort_values("key")
@@ -89,8 +95,7 @@ def best_matches(asks: DataFrame, docs: DataFrame, k: int, ask: str = "doc_id",
         i, j = np.nonzero(np.isfinite(best))
         return pd.DataFrame({"a": a[i], "b": b[top[i, j]], "sim": best[i, j]})
 
-    met = left.groupBy("chunk", "block").cogroup(right.groupBy("chunk", "block")).applyInPandas(meet, kinds)
-    return top_k(met, k)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(best, kinds)
 
 
 def best_unseen(asks: DataFrame, docs: DataFrame, k: int, seen_of: Callable[[DataFrame], DataFrame], **how) -> DataFrame:

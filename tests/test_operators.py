@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.functions.stem import stem
-from termloom.operators import cluster, dom, index, linalg, recommend, similarity
+from termloom.operators import cluster, dom, index, kdtree, linalg, recommend, similarity
 from termloom.operators.skew import with_key_totals
-from termloom.sources import formats
+from termloom.sources import formats, jdbc
 from termloom.streaming import incremental
 
 CORPUS = [(1, "apple apple pear"), (2, "apple pear"), (3, "apple pear kiwi"), (4, "apple kiwi"), (5, "plum"), (6, ""), (7, None)]
@@ -234,3 +234,74 @@ def test_profiles_and_candidates(spark, same):
     same(votes, [("u", 1, 4), ("u", 99, 5)])
     same(recommend.profiles(votes, rows), [("u", "a", 1.0)])
     same(recommend.candidates(votes, rows, similarity.true_norms(rows)).select("doc_id", "rank"), [(2, 1)])
+
+
+def test_tree_index(spark, same):
+    """Search over all leaves is exact, over few it finds most; documents come and go."""
+    rng = np.random.default_rng(6)
+    centres = rng.random((20, 6))
+    x = np.abs(centres[rng.integers(0, 20, 600)] + 0.08 * rng.normal(size=(600, 6)))
+    data = [(i, f"t{j}", float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+    rows = spark.createDataFrame(data, "doc_id long, term string, w double")
+    queries = rows.select("doc_id").where("doc_id % 10 = 0").distinct()
+    vectors = similarity.as_vectors(rows, similarity.true_norms(rows))
+    exact = {(r["a"], r["b"]) for r in similarity.best_matches(vectors.join(queries, "doc_id", "left_semi"), vectors, 5, others=True).collect()}
+    tree = kdtree.build(rows, [f"t{j}" for j in range(4)], leaf=40)
+    assert tree.depth == 4 and max(r["count"] for r in tree.points.groupBy("leaf").count().collect()) <= 60
+    found = lambda t, probes: {(r["a"], r["b"]) for r in kdtree.search(t, vectors, queries, rows, 5, probes).collect()}
+    assert found(tree, 16) == exact
+    assert len(found(tree, 6) & exact) >= 0.9 * len(exact)
+    gone = spark.createDataFrame([(i,) for i in range(0, 600, 3)], "doc_id long")
+    less = kdtree.delete(tree, gone)
+    assert less.points.count() == 400 and all(b % 3 for _, b in found(less, 16))
+    back = kdtree.insert(less, rows.join(gone, "doc_id", "left_semi"))
+    assert found(back, 16) == exact
+    one = kdtree.build(rows.where("doc_id < 0"), ["t0"])
+    assert one.depth == 0 and one.points.count() == 0
+
+
+def test_leaves_by_distance():
+    cuts = np.zeros(8)
+    cuts[1], cuts[2], cuts[3] = 5, 1, 9
+    x = np.array([4.0, 2.0])
+    assert kdtree.leaves_near(x, cuts, 2, 4) == [5, 4, 6, 7] or kdtree.leaves_near(x, cuts, 2, 4) == [5, 6, 4, 7]
+    assert kdtree.leaves_near(x, cuts, 2, 1) == [5] and kdtree.leaves_near(x, cuts, 0, 3) == [1]
+
+
+def test_unseen_asks_for_more(spark, same):
+    """With nearly all seen, the search goes on until the vector has its k."""
+    rows = spark.createDataFrame([(i, "a", 1.0) for i in range(60)] + [(i, f"x{i}", i / 100) for i in range(1, 60)], "doc_id long, term string, w double")
+    seen = spark.createDataFrame([(0, i) for i in range(1, 50)], "a long, b long")
+    got = similarity.nearest(rows, similarity.true_norms(rows), rows.where("doc_id = 0").select("doc_id"), 5, lambda pairs: pairs.join(seen, ["a", "b"], "left_semi"))
+    assert [r["b"] for r in got.orderBy("rank").collect()] == [50, 51, 52, 53, 54]
+    none = similarity.nearest(rows, similarity.true_norms(rows), rows.where("doc_id = 0").select("doc_id"), 5, lambda pairs: pairs)
+    assert none.count() == 0
+
+
+def test_stopwords_from_a_table(spark, tmp_path, same):
+    (tmp_path / "stop.txt").write_text("the\n  of \n\n")
+    toks = spark.createDataFrame([(1, t) for t in ("the", "o", "of", "sea", "offer")], "doc_id long, term string")
+    words = formats.read_stopwords(spark, str(tmp_path / "stop.txt"))
+    same(index.without_stopwords(toks, words).select("term"), [("o",), ("sea",), ("offer",)])
+    same(index.without_stopwords(toks, words, prefixes=True).select("term"), [("sea",), ("offer",)])
+
+
+def test_entities_file(spark, tmp_path, same):
+    (tmp_path / "entities").write_text("& &amp;\né &eacute;\nbroken\na b c\n")
+    same(formats.read_entities(spark, str(tmp_path / "entities")), [("&", "&amp;"), ("é", "&eacute;")])
+
+
+def test_database(spark, same):
+    """A database on Spark's own class path, read in parts and with a pushed filter."""
+    url = "jdbc:derby:memory:pages;create=true"
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.createDataFrame([(i, f"name {i}") for i in range(20)], "id int, title string").write.format("jdbc").option("url", url).option("dbtable", "page").options(**options).mode("overwrite").save()
+    pages = jdbc.read_jdbc(spark, url, "page", "id", 0, 20, 4, **options)
+    assert pages.rdd.getNumPartitions() == 4
+    same(pages.where("id = 7"), [(7, "name 7")])
+    assert "EqualTo" in pages.where("id = 7")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matrix_column(spark, same):
+    m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)], "i long, j long, v double")
+    same(linalg.with_column(m, 1, spark.createDataFrame([(0, 9.0), (1, 8.0)], "i long, v double")), [(0, 0, 1.0), (0, 1, 9.0), (1, 1, 8.0)])
