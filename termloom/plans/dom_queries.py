@@ -76,7 +76,7 @@ def page_cards(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_roots(spark: SparkSession, d: str) -> DataFrame:
     out = dom.merge_under(_nodes(spark, d).where("page_id is not null"))
-    return out.groupBy("depth").agg(F.count("*").alias("n"))
+    return out.select("page_id", "node_id", "parent_id", F.col("depth").cast("int").alias("depth"), F.col("ord").cast("int").alias("ord"))
 
 
 def parsed_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -134,6 +134,8 @@ SELECT DISTINCT t.page_id, t.node_id FROM t JOIN up USING (page_id, node_id) JOI
     "page_cards": f"""WITH t AS (SELECT *, {_T} AS t, {_at('src')} AS src, list_contains(regexp_split_to_array({_at('class')}, '\\s+'), 'thumbimage') AS thumb, list_contains(regexp_split_to_array({_at('class')}, '\\s+'), 'mw-empty-elt') AS empty_, trim(replace(data, '<>', '')) AS own FROM yomu),
 i AS (SELECT page_id, arg_min(substr(src, 3), (NOT thumb, node_id)) AS image FROM t WHERE t = 'img' GROUP BY 1), p AS (SELECT page_id, arg_min(own, node_id) AS intro FROM t WHERE t = 'p' AND length(own) >= 4 AND NOT empty_ GROUP BY 1)
 SELECT g.page_id, coalesce(image, '') AS image, coalesce(intro, 'Description not available.') AS intro FROM (SELECT DISTINCT page_id FROM yomu WHERE page_id IS NOT NULL) g LEFT JOIN i USING (page_id) LEFT JOIN p USING (page_id)""",
-    "merged_roots": "SELECT depth, CAST(sum(n) AS BIGINT) AS n FROM (SELECT CAST(depth + 1 AS INTEGER) AS depth, count(*) AS n FROM yomu WHERE page_id IS NOT NULL GROUP BY 1 UNION ALL SELECT 0, count(DISTINCT page_id) FROM yomu WHERE parent_id IS NULL AND page_id IS NOT NULL) GROUP BY 1",
+    "merged_roots": """SELECT page_id, node_id, parent_id, CAST(depth + 1 AS INTEGER) AS depth, ord FROM yomu WHERE page_id IS NOT NULL AND parent_id IS NOT NULL
+UNION ALL SELECT page_id, node_id, -1, CAST(depth + 1 AS INTEGER), CAST(row_number() OVER (PARTITION BY page_id ORDER BY node_id) - 1 AS INTEGER) FROM yomu WHERE page_id IS NOT NULL AND parent_id IS NULL
+UNION ALL SELECT DISTINCT page_id, -1, NULL::BIGINT, 0, 0 FROM yomu WHERE page_id IS NOT NULL AND parent_id IS NULL""",
     "parsed_headings": f"WITH {_PAGES} SELECT page_id, regexp_extract(w, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS heading FROM pg WHERE regexp_matches(w, '(?i)<h1[ >]')",
 }

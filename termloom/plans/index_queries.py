@@ -16,9 +16,9 @@ from termloom.streaming import incremental
 #: The stopwords of the queries.
 STOPWORDS = "a about after all also an and are as at be because been but by can could did do does for from had has have he her him his how i if in into is it its may more no not of on one only or other our out she so some such than that the their them then there these they this to under up was we were what when where which who will with would you your".split()
 
-_TOK = """tok AS (SELECT doc_id, t AS term FROM (SELECT doc_id, unnest(string_split(translate(regexp_replace(text, '[^A-Za-z ]', '', 'g'),
+TOKENS_SQL = """tok AS (SELECT doc_id, t AS term FROM (SELECT doc_id, unnest(string_split(translate(regexp_replace(text, '[^A-Za-z ]', '', 'g'),
   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ')) AS t FROM documents) WHERE t <> '')"""
-_TF = _TOK + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
+_TF = TOKENS_SQL + ", tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2)"
 _ST = _TF + ", st AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tfs, CAST(sum(tf * tf) AS BIGINT) AS tfs_sq FROM tf GROUP BY 1), n AS (SELECT count(DISTINCT doc_id) AS n FROM tok)"
 _STOP = "(VALUES " + ", ".join(f"('{w}')" for w in STOPWORDS) + ") AS s(w)"
 
@@ -135,7 +135,7 @@ def stream_index(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (token_counts, term_frequency, term_statistics, document_magnitudes, vocabulary_compat, vocabulary_ratio, term_weights, posting_lists, stopwords_exact, stopwords_prefix, stems, prior_term_sums, distinct_terms, split_dimensions, title_lines, index_round_trip, cluster_lines, stream_index)}
 
 ORACLES = {
-    "token_counts": f"WITH {_TOK} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY 1",
+    "token_counts": f"WITH {TOKENS_SQL} SELECT doc_id, count(*) AS n_tokens FROM tok GROUP BY 1",
     "term_frequency": f"WITH {_TF} SELECT * FROM tf",
     "term_statistics": f"WITH {_ST} SELECT *, round(sqrt(tfs_sq), 6) AS std FROM st",
     "document_magnitudes": f"WITH {_TF} SELECT doc_id, CAST(sum(tf * tf) AS BIGINT) AS mag, round(sqrt(CAST(sum(tf * tf) AS BIGINT)), 6) AS sqrt_mag FROM tf GROUP BY 1",
@@ -146,7 +146,7 @@ ORACLES = {
     "stopwords_exact": f"WITH {_TF} SELECT * FROM tf WHERE term NOT IN (SELECT w FROM {_STOP})",
     "stopwords_prefix": f"WITH {_TF} SELECT * FROM tf WHERE NOT EXISTS (SELECT 1 FROM {_STOP} WHERE starts_with(w, tf.term))",
     "prior_term_sums": f"WITH {_TF} SELECT doc_id, term, tf, CAST(coalesce(sum(tf) OVER w, 0) AS BIGINT) AS prior_tfs, count(*) OVER w AS prior_df FROM tf WINDOW w AS (PARTITION BY term ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
-    "distinct_terms": f"WITH {_TOK} SELECT DISTINCT term FROM tok",
+    "distinct_terms": f"WITH {TOKENS_SQL} SELECT DISTINCT term FROM tok",
     "split_dimensions": f"""WITH {_ST}, s AS (SELECT term, round(0.6 * round(sqrt(tfs_sq), 6) + df, 6) AS score, n FROM st, n WHERE df < ln(n) + 1),
  r AS (SELECT term, score, row_number() OVER (ORDER BY score DESC, term) AS rank, n FROM s)
 SELECT term, score, CAST(rank AS INTEGER) AS rank, coalesce(lead(term) OVER (ORDER BY rank), first_value(term) OVER (ORDER BY rank)) AS next_term FROM r WHERE rank <= ceil(ln(n) + 1)""",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
+from termloom.operators.index import tokens
+from termloom.plans.index_queries import TOKENS_SQL
 from termloom.sources import formats
 from termloom.sources.tables import table
 
@@ -100,8 +102,8 @@ def map_primitives(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prefix_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Terms of which one starts the other, by explicit prefixes rather than by comparing all pairs."""
-    terms = table(spark, d, "term_freq_rep").where("term is not null").select("term").distinct()
+    """Words of the documents of which one starts the other, by explicit prefixes rather than by comparing all pairs."""
+    terms = tokens(table(spark, d, "documents")).select("term").distinct()
     prefixes = terms.select(F.col("term").alias("longer"), F.explode(F.transform(F.sequence(F.lit(1), F.length("term") - 1), lambda i: F.substring("term", F.lit(1), i))).alias("term")).where("length(longer) > 1")
     return prefixes.join(terms, "term").select("term", "longer")
 
@@ -143,7 +145,7 @@ FROM (SELECT node_id, translate(replace(replace(data, '"', '&ldquo;'), '&nbsp;',
     "pages_by_name": "SELECT DISTINCT id, unique_id, page_name FROM page WHERE page_name = (SELECT min(page_name) FROM page)",
     "string_arrays": "SELECT id, page_name, CAST(unnest(range(len(w))) AS INTEGER) AS place, unnest(w) AS word FROM (SELECT id, page_name, string_split(page_name, ' ') AS w FROM (SELECT DISTINCT id, page_name FROM page WHERE id IS NOT NULL AND page_name IS NOT NULL))",
     "map_primitives": "SELECT doc_id, CAST(len(v) AS INTEGER) AS n, CAST(len(list_filter(v, lambda x: x >= 0.1)) AS INTEGER) AS n_big, round(list_sum(list_transform(v, lambda x: CASE WHEN x >= 0.1 THEN 1.0::DOUBLE ELSE x END)), 7) AS merged_sum, list_min(v) AS least, list_max(v) AS most, list_min(k) AS first_key FROM (SELECT DISTINCT ON (doc_id) doc_id, map_values(map) AS v, map_keys(map) AS k FROM document_vector WHERE doc_id IS NOT NULL AND map IS NOT NULL AND cardinality(map) > 0)",
-    "prefix_matches": "WITH t AS (SELECT DISTINCT term FROM term_freq_rep WHERE term IS NOT NULL), p AS (SELECT term AS longer, unnest(list_transform(range(1, length(term)), lambda i: substr(term, 1, i))) AS term FROM t) SELECT term, longer FROM p JOIN t USING (term)",
+    "prefix_matches": f"WITH {TOKENS_SQL}, t AS (SELECT DISTINCT term FROM tok), p AS (SELECT term AS longer, unnest(list_transform(range(1, length(term)), lambda i: substr(term, 1, i))) AS term FROM t) SELECT term, longer FROM p JOIN t USING (term)",
     "usable_paragraphs": f"SELECT page_id, node_id FROM yomu WHERE {_T} = 'p' AND length(trim(replace(data, '<>', ''))) >= 4 AND NOT list_contains(regexp_split_to_array({_CLASS.format('class')}, '\\s+'), 'mw-empty-elt')",
     "filled_templates": "SELECT DISTINCT id, '<h1>' || coalesce(page_name, '') || '</h1><i>' || id || '</i>' AS html FROM page WHERE id IS NOT NULL",
 }

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _BASES: set[str] = set()
 _PATHS: dict[int, tuple] = {}
+_WITHIN: list[list[DataFrame]] = []
 _HOME = str(Path(__file__).resolve().parent.parent)
 
 
@@ -70,6 +72,20 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[id(out)] = (weakref.ref(out), path)
+    if _WITHIN:
+        _WITHIN[-1].append(out)
+    return out
+
+
+def cut_from(build: Callable[[], DataFrame]) -> DataFrame:
+    """cut() of what ``build`` gives; the tables that it wrote on the way are deleted afterwards."""
+    _WITHIN.append(on_the_way := [])
+    try:
+        df = build()
+    finally:
+        _WITHIN.pop()
+    out = cut(df)
+    release(*on_the_way)
     return out
 
 

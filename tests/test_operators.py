@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from termloom.functions import text as tx
 from termloom.functions.stem import stem
 from termloom.operators import cluster, dom, index, kdtree, linalg, recommend, similarity
-from termloom.operators.skew import with_key_totals
+from termloom.operators.skew import join_hot, with_key_totals
+from termloom.session import cut, cut_from
 from termloom.sources import formats, jdbc
 from termloom.streaming import incremental
 
@@ -305,3 +306,25 @@ def test_database(spark, same):
 def test_matrix_column(spark, same):
     m = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 1, 3.0)], "i long, j long, v double")
     same(linalg.with_column(m, 1, spark.createDataFrame([(0, 9.0), (1, 8.0)], "i long, v double")), [(0, 0, 1.0), (0, 1, 9.0), (1, 1, 8.0)])
+
+
+def test_tables_on_the_way_are_deleted(spark):
+    made = []
+
+    def build():
+        made.append(cut(spark.range(5)))
+        return made[0].where("id > 1")
+
+    out = cut_from(build)
+    assert out.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        made[0].count()
+
+
+def test_join_of_hot_keys(spark, same):
+    left = spark.createDataFrame([("hot", i) for i in range(90)] + [("cold", 1), ("none", 2), (None, 3)], "k string, id long")
+    right = spark.createDataFrame([("hot", 90, "h"), ("cold", 1, "c"), ("gone", 0, "g")], "k string, n long, v string")
+    for share in (1, 2, 1000):
+        got = join_hot(left, right, ["k"], "n", share)
+        same(got.groupBy("k", "v").count(), [("hot", "h", 90), ("cold", "c", 1)])
+    assert join_hot(left.limit(0), right.limit(0), ["k"], "n").count() == 0
