@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from termloom.llm.similar import flat
 from termloom.llm.vectors import SHARD_ROWS, classes_of_equals, clean_vectors, norm, route, tiles, to_shards
 from termloom.operators.skew import join_hot
-from termloom.session import cut, release
+from termloom.session import cut, cut_from, release
 
 THRESHOLD = 0.55
 #: Most similar vectors of each vector whose pairs are edges. In groups of at most one more, all pairs are.
@@ -217,13 +217,14 @@ def link_here(a: np.ndarray, b: np.ndarray, total: np.ndarray, na: np.ndarray, n
     return {x: name[root(x)] for x in to}
 
 
-def link(edges: DataFrame, threshold: float = THRESHOLD, chains: bool = True, few: int = FEW) -> DataFrame:
-    """``id``, ``cluster`` of every node that an edge joins to others; the cluster is its smallest id.
+def link(edges: DataFrame, threshold: float = THRESHOLD, chains: bool = True, few: int = FEW, written: bool = False) -> DataFrame:
+    """``id``, ``cluster`` of every node that an edge joins to others; the cluster is its smallest id. Edges that are
+    ``written``, as a table of cut(), aren't written again, and deleted.
 
     Average linkage down to the threshold; with ``chains`` the clusters that an edge still joins are one. Rounds run over
     all tasks until at most ``few`` edges are left, which one task links to the end.
     """
-    edges = cut(edges)
+    edges = edges if written else cut(edges)
     labels = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct().withColumn("cluster", F.col("id"))
     kept = labels = cut(labels)
     used, turn, average = [], 0, True
@@ -252,6 +253,7 @@ def link(edges: DataFrame, threshold: float = THRESHOLD, chains: bool = True, fe
         used.append(merges)
         turn += 1
         if n <= few:
+            release(edges)
             break
         if turn % 4 == 0:
             before, labels = kept, cut(labels)
@@ -269,7 +271,7 @@ def clusters(df: DataFrame, key: str = "doc_id", column: str = "map", threshold:
     not finite; rows of one id count once; other columns play no part. A group may hold any share of the ids.
     """
     members, reps = classes_of_equals(df, key, column)
-    labels = link(sparse_graph(reps, threshold), threshold, chains, few)
+    labels = link(cut_from(lambda: sparse_graph(reps, threshold)), threshold, chains, few, written=True)
     classes = reps.select(F.col("id").alias("rep"), "size").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     classes = classes.withColumn("cluster", F.coalesce("cluster", "rep"))
     # a group's smallest id is the smallest of its classes' ids, which are the smallest of their members

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termloom.llm.hnsw import Hnsw, exact_dots, sketch
 from termloom.llm.vectors import SHARD_ROWS, as_lists, classes_of_equals, lists, route, to_shards
 from termloom.operators.skew import join_hot, salt_of
-from termloom.session import cut
+from termloom.session import cut, cut_from
 
 K = 20
 #: How far below the threshold a sketch may put a pair whose exact cosine is still computed.
@@ -161,10 +161,14 @@ def most_similar(df: DataFrame, key: str = "doc_id", column: str = "map", k: int
     """
     members, reps = classes_of_equals(df, key, column)
     copied = reps.where("size > 1").select("id", "size")
-    near = class_neighbours(reps, k, threshold)
-    near = near.join(copied.withColumnRenamed("size", "id_size"), "id", "left").join(copied.toDF("other", "other_size"), "other", "left")
-    near = near.fillna(1, ["id_size", "other_size"])
-    near = cut(near.withColumn("most", F.max(F.greatest("id_size", "other_size")).over(Window.partitionBy("id"))))
+
+    def sized() -> DataFrame:
+        near = class_neighbours(reps, k, threshold)
+        near = near.join(copied.withColumnRenamed("size", "id_size"), "id", "left").join(copied.toDF("other", "other_size"), "other", "left")
+        near = near.fillna(1, ["id_size", "other_size"])
+        return near.withColumn("most", F.max(F.greatest("id_size", "other_size")).over(Window.partitionBy("id")))
+
+    near = cut_from(sized)
     single = near.where("most = 1").select("id", "other")
     several = cut(join_hot(members, copied.withColumnRenamed("id", "rep"), ["rep"], "size"))
     # the first k + 1 ids of each class, found in parts: a class may hold a third of all ids

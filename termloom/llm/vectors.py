@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.operators.skew import join_hot
-from termloom.session import cut
+from termloom.session import cut, release
 
 #: Rows that a shard has on average half of; a fuller one is cut into parts.
 SHARD_ROWS = 2048
@@ -67,7 +67,9 @@ def classes_of_equals(df: DataFrame, key: str, column: str) -> tuple[DataFrame,
         F.col("rep").alias("id"), "size", F.transform("vec", lambda e: F.xxhash64(e["term"])).alias("terms"),
         F.transform("vec", lambda e: e["w"] / F.col("norm")).alias("ws"),
     )
-    return members, cut(reps)
+    reps = cut(reps)
+    release(own, classes)
+    return members, reps
 
 
 def norm(vec: str) -> Column:

@@ -217,6 +217,13 @@ def test_unsure_texts_stay(model):
     assert mojibake.restore(bad, model)[0] == bad
 
 
+def test_plain_marks_are_no_utf8():
+    """What is passed over without a look can't have been UTF-8 under any encoding."""
+    marks = "’‘“”«»–—…"
+    for a in marks:
+        assert not mojibake.utf8_readings(a) and all(not mojibake.utf8_readings(a + b) and all(not mojibake.utf8_readings(a + b + c) for c in marks) for b in marks)
+
+
 def test_sign_inside_a_word():
     model = mojibake.Model(SAMPLES | {"pl": SAMPLES["pl"] + ["Dziś można tu zobaczyć zbiór map, można też wejść na wieżę."] * 30})
     assert mojibake.restore("Dziś mo¿na tu zobaczyć zbiór map", model) == ("Dziś można tu zobaczyć zbiór map", True)
