@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.similarity import CHUNK, meet, top_k
+from termloom.operators.similarity import CHUNK, best_in_groups
 from termloom.session import cut
 
 #: Levels at most: the driver and the tasks hold two doubles for each of 65,536 splits.
@@ -106,8 +106,6 @@ def search(tree: Tree, vectors: DataFrame, queries: DataFrame, rows: DataFrame,
     """``a``, ``b``, ``sim``, ``rank``: the k documents most similar to each of ``queries`` (doc_id), themselves excluded,
     among those of the ``probes`` leaves nearest to it. ``vectors`` is as as_vectors gives it, ``rows`` has their terms;
     queries needn't be in the tree.
-
-    A leaf over CHUNK documents is cut into parts, and its queries into blocks: no task gets more than one of each.
     """
     held = vectors.sparkSession.sparkContext.broadcast(tree.cuts)
     depth = tree.depth
@@ -119,13 +117,4 @@ def search(tree: Tree, vectors: DataFrame, queries: DataFrame, rows: DataFrame,
 
     kind = vectors.schema["doc_id"].dataType.simpleString()
     asks = cut(coordinates(rows.join(queries, "doc_id", "left_semi"), tree.dims).mapInPandas(run, f"doc_id {kind}, leaf long"))
-    count = lambda side, name: side.groupBy("leaf").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias(name))
-    points = cut(tree.points)
-    sizes = F.broadcast(count(points, "parts").join(count(asks, "blocks"), "leaf"))  # a row per leaf
-    spot = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    some = lambda side: side.join(vectors, "doc_id").withColumnRenamed("doc_id", "key").select("leaf", "part", "block", "key", "norm", "ts", "ws")
-    left = some(points.join(sizes, "leaf").withColumn("part", spot("parts", 1)).withColumn("block", each("blocks")))
-    right = some(asks.join(sizes, "leaf").withColumn("block", spot("blocks", 2)).withColumn("part", each("parts")))
-    right = right.toDF(*right.columns)
-    return top_k(meet(left, right, ["leaf", "part", "block"], k, others=True), k)
+    return best_in_groups(asks, cut(tree.points), vectors, "leaf", k)

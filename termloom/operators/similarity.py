@@ -98,6 +98,23 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], k: int, zeros: bool =
     return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(best, kinds)
 
 
+def best_in_groups(asks: DataFrame, members: DataFrame, vectors: DataFrame, group: str, k: int) -> DataFrame:
+    """``a``, ``b``, ``sim``, ``rank``: the k most similar documents of each asking document's groups, itself excluded.
+    ``asks`` and ``members`` have doc_id and ``group``, ``vectors`` is as as_vectors gives it.
+
+    A group over CHUNK members is cut into parts, and those that ask in it into blocks: no task gets more than one of each.
+    """
+    count = lambda side, size, name: side.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    sizes = count(members, CHUNK, "parts").join(count(asks, BLOCK, "blocks"), group)
+    spot = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    some = lambda side: side.join(vectors, "doc_id").withColumnRenamed("doc_id", "key").select(group, "part", "block", "key", "norm", "ts", "ws")
+    left = some(members.join(sizes, group).withColumn("part", spot("parts", 1)).withColumn("block", each("blocks")))
+    right = some(asks.join(sizes, group).withColumn("block", spot("blocks", 2)).withColumn("part", each("parts")))
+    right = right.toDF(*right.columns)
+    return top_k(meet(left, right, [group, "part", "block"], k, others=True), k)
+
+
 def best_unseen(asks: DataFrame, docs: DataFrame, k: int, seen_of: Callable[[DataFrame], DataFrame], **how) -> DataFrame:
     """As best_matches, without the pairs (a, b) that ``seen_of`` gives of those it is asked about.
 
