@@ -107,8 +107,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of an input of fewer splits than cores out in turn, so that Python stages use all cores whatever
-    the rows' keys. Inputs of more splits keep their partitions: at scale nothing is shuffled here."""
+    the rows' keys. Inputs of more splits keep their partitions: at scale nothing is shuffled here. Neither are inputs
+    dealt out that a shuffle has just placed; to count their partitions would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString() or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(2 * cores)
