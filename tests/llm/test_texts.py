@@ -238,6 +238,25 @@ def test_sample_is_drawn_at_any_size(spark, monkeypatch):
     assert min(1.0, 6000 / 7e12) * 2**63 > 1e9
 
 
+def test_every_text_is_learned_from(spark):
+    """Long texts, words that one of many texts has, and the same from any number of partitions."""
+    rows = [(i, " ".join([t] * 150), lang) for lang, ts in (SAMPLES | OTHERS).items() for i, t in enumerate(ts[:3])]
+    rows += [(i, "plain words", "en") for i in range(2000)] + [(9, "Żółwinko leży, Żółwinko śpi", "pl")]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    one, other = mojibake.learn(df.coalesce(1), "id", "text", "lang", texts=1), mojibake.learn(df.repartition(7), "id", "text", "lang")
+    whole = mojibake.Model({k: [t for _, t, lang in rows if lang == k] for k in SAMPLES | OTHERS})
+    for name in ("raw", "alphabet", "words", "pairs"):
+        assert getattr(one, name) == getattr(other, name) == getattr(whole, name), name
+    assert "Żółwinko".encode() in one.raw["pl"] and {"żó", "ół", "nk"} <= one.pairs["pl"]
+    text = OTHERS["el"][0]
+    assert mojibake.restore(text.encode("cp1253").decode("cp1252"), one) == (text, True)
+
+
+def test_garbled_forms_are_not_learned():
+    model = mojibake.Model(SAMPLES | {"pl": SAMPLES["pl"] * 10 + ["Dziś mo¿na tu zobaczyæ zbiór map."] * 5})
+    assert not any(x.encode() in model.raw["pl"] for x in ("mo¿na", "zobaczyæ")) and "zbiór".encode() in model.raw["pl"]
+
+
 def test_lost_characters(model):
     assert mojibake.restore("caf\ufffd", model) == ("caf\ufffd", True)
 
