@@ -165,6 +165,49 @@ def test_k_means_ends_by_its_shifts(spark, monkeypatch):
         cluster.k_means(rows, norms, k=2)
 
 
+def test_k_means_sends_no_centroid_per_block(spark, monkeypatch):
+    """Centroids have nearly all terms of all documents: a copy for each block of documents outgrows an executor."""
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    rows = cut(spark.range(2000).selectExpr("id as doc_id", "explode(transform(sequence(1, 12), i -> concat(id, ' ', i))) as term", "0.5D as w"))
+    monkeypatch.setattr(similarity, "BLOCK", 20)
+    before = sent()
+    with pytest.warns(UserWarning):
+        cluster.k_means(rows, similarity.true_norms(rows), k=4, rounds=2).collect()
+    assert sent() - before < 8_000_000  # the rows are 24,000
+
+
+@pytest.mark.parametrize("part", [1 << 21, 40])
+def test_k_means_by_parts(spark, monkeypatch, part):
+    """As by brute force: with centroids in one part or in turns of many, a seed without a norm whose cluster takes the least similar
+    document, negative weights, and documents that share no term with any centroid."""
+    rng, k = np.random.default_rng(3), 5
+    vectors = {d: {f"t{t}": float(w) for t, w in zip(rng.integers(0, 60, 6), rng.normal(0.4, 1, 6).round(3))} for d in range(300)}
+    vectors |= {2: {"t1": 0.0}, 300: {"alone": 1.0}, 301: {"t1": 0.0}}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    centres = dict(enumerate(dict(vectors[d]) for d in range(k)))
+    for _ in range(3):
+        best = {}
+        for d, v in vectors.items():
+            if norm(v):
+                best[d] = max((round(sum(x * m.get(t, 0) for t, x in v.items()) / (norm(v) * norm(m)), 9), -c) for c, m in centres.items() if norm(m))
+        want = {d: -c for d, (_, c) in best.items()}
+        empty = sorted(set(range(k)) - {*want.values()})
+        want |= dict(zip(sorted(best, key=lambda d: (best[d][0], d)), empty))
+        for c in range(k):
+            own = [vectors[d] for d in want if want[d] == c]
+            centres[c] = {t: round(sum(v.get(t, 0) for v in own) / len(own), 9) for t in {t for v in own for t in v}}
+    rows = spark.createDataFrame([(d, t, w) for d, v in vectors.items() for t, w in v.items()], "doc_id long, term string, w double")
+    monkeypatch.setattr(cluster, "PART", part, raising=False)
+    with pytest.warns(UserWarning):
+        got = cluster.k_means(rows, similarity.true_norms(rows), k=k, threshold=-1.0, rounds=3)
+    assert {r["doc_id"]: r["cluster_id"] for r in got.collect()} == want
+
+
+def test_k_means_of_nothing(spark):
+    rows = spark.createDataFrame([], "doc_id long, term string, w double")
+    assert cluster.k_means(rows, similarity.true_norms(rows)).collect() == []
+
+
 def test_every_document_has_a_cluster(spark, same):
     """No common term is similarity 0: the smallest id of those clusters, before any of negative similarity."""
     schema = "doc_id long, term string, w double"
